@@ -3,7 +3,7 @@
 _B = "' ' || chr(9)"
 _RUNS = "runs AS (SELECT DISTINCT ON (run_id) * FROM eda_cluster_results ORDER BY run_id, ingested_at)"
 _CELLS = f"""{_RUNS}, cells AS (SELECT lower(trim("group", {_B})) AS size_group, lower(trim(algorithm, {_B})) AS algorithm, "time", test_sp FROM runs),
-vals AS (SELECT size_group, algorithm, 'time' AS metric, "time" AS v FROM cells WHERE isfinite("time") AND "time" >= 0 UNION ALL SELECT size_group, algorithm, 'test_sp', test_sp FROM cells WHERE NOT isnan(test_sp)),
+vals AS (SELECT size_group, algorithm, 'time' AS metric, "time" AS v FROM cells WHERE isfinite("time") AND "time" >= 0 UNION ALL SELECT size_group, algorithm, 'test_sp', test_sp FROM cells WHERE test_sp::VARCHAR <> 'nan'),
 placed AS (SELECT *, row_number() OVER (PARTITION BY size_group, algorithm, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY size_group, algorithm, metric) AS n FROM vals WHERE size_group IS NOT NULL AND algorithm IS NOT NULL),
 wide AS (SELECT size_group, algorithm, metric, max(n) AS n, {", ".join(f"max(v) FILTER (r = ({p} * n + 99) // 100) AS p{p}" for p in (10, 50, 90, 95))} FROM placed GROUP BY ALL)"""
 _STATES = (2, 7, 2, 2, 2, 2, 2)
@@ -11,7 +11,7 @@ _ITEMS = " UNION ALL ".join(f"SELECT row_id, 'c{i}=' || c{i} AS item FROM once W
 _PAIRS = f"""once AS (SELECT DISTINCT ON (row_id) * FROM moodstate_data_n2000), items AS ({_ITEMS}), single AS (SELECT item, count(*) AS n FROM items GROUP BY 1),
 pairs AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n FROM items a JOIN items b ON a.row_id = b.row_id AND a.item < b.item GROUP BY ALL),
 full_ AS (SELECT p.*, x.n AS n_a, y.n AS n_b, (SELECT count(*) FROM once) AS n_all FROM pairs p JOIN single x ON x.item = p.item_a JOIN single y ON y.item = p.item_b)"""
-_TOP = f"""{_RUNS}, ok AS (SELECT lower(trim(family, {_B})) AS family, lower(trim(algorithm, {_B})) AS algorithm, run_id, test_sp FROM runs WHERE family IS NOT NULL AND algorithm IS NOT NULL AND test_sp IS NOT NULL AND NOT isnan(test_sp)),
+_TOP = f"""{_RUNS}, ok AS (SELECT lower(trim(family, {_B})) AS family, lower(trim(algorithm, {_B})) AS algorithm, run_id, test_sp FROM runs WHERE family IS NOT NULL AND algorithm IS NOT NULL AND test_sp::VARCHAR <> 'nan'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY family, algorithm ORDER BY test_sp DESC, run_id)::INT AS place FROM ok)"""
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 
-from tallygrid.functions.special import chi2_isf, chi2_sf
+from tallygrid.functions.special import chi2_isf
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
 from tallygrid.operators.search import Problem, information
@@ -50,7 +50,7 @@ class Tests:
         key = self._key(x, y, z)
         if key not in self.known:
             s, dof = self.statistic(x, y, z)
-            self.known[key] = dof <= 0 or chi2_sf(s, dof) > self.level
+            self.known[key] = dof <= 0 or s < critical(self.level, dof)
         return self.known[key]
 
 

@@ -57,7 +57,8 @@ class Tally:
         for v in variables:
             out = out + F.col(f"x{v}").cast("bigint") * F.lit(stride).cast("bigint")
             stride *= self.cards[v]
-        return out
+        # states are never null; saying so keeps the optimizer from testing the whole expression for null at the scan
+        return F.coalesce(out, F.lit(-1).cast("bigint"))
 
     def decode(self, code: Column, variables: Sequence[int]) -> list[Column]:
         """The states in an index."""

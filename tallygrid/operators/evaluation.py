@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions.special import chi2_sf
+from tallygrid.operators.ordered import running
 
 #: Upper 5 percent points of the studentized range, over root 2, for 2 to 20 groups.
 NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544)
@@ -58,12 +59,12 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """``rho`` of each group, null if a side is constant. Ranks come from counts by value, so ties are combined first."""
 
     def ranks(c: str, out: str) -> DataFrame:
-        counts = df.groupBy(*by, c).agg(F.count("*").alias("n"))
-        up = F.sum("n").over(Window.partitionBy(*by).orderBy(c))
-        return counts.select(*by, c, (up - (F.col("n") - 1) / 2).alias(out))
+        counts = running(df.groupBy(*by, c).agg(F.count("*").alias("n")), by, c, "n", "up")
+        return counts.select(*by, c, (F.col("up") - (F.col("n") - 1) / 2).alias(out))
 
     joined = df.join(ranks(a, "_ra"), [*by, a]).join(ranks(b, "_rb"), [*by, b])
-    return joined.groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return joined.groupBy(*by).agg(F.when(spread > 0, F.covar_pop("_ra", "_rb") / spread).alias("rho"))
 
 
 def kl_divergence(df: DataFrame, p: str, q: str, by: list[str]) -> DataFrame:

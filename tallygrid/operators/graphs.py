@@ -39,17 +39,29 @@ def is_dag(adjacency: np.ndarray) -> bool:
     return topological(adjacency) is not None
 
 
-def reaches(adjacency: np.ndarray, a: int, b: int) -> bool:
+def descendants(adjacency: np.ndarray, a: int) -> set[int]:
+    """What is reached from a, itself included."""
     seen, stack = {a}, [a]
     while stack:
-        v = stack.pop()
-        if v == b:
-            return True
-        for u in np.flatnonzero(adjacency[v]):
-            if int(u) not in seen:
-                seen.add(int(u))
-                stack.append(int(u))
-    return False
+        for u in map(int, np.flatnonzero(adjacency[stack.pop()])):
+            if u not in seen:
+                seen.add(u)
+                stack.append(u)
+    return seen
+
+
+def reaches(adjacency: np.ndarray, a: int, b: int) -> bool:
+    return b in descendants(adjacency, a)
+
+
+def closure_of(adjacency: np.ndarray) -> np.ndarray:
+    """Which variables are reached from which, themselves included; by squaring."""
+    now = (adjacency + np.eye(len(adjacency), dtype=adjacency.dtype)) > 0
+    while True:
+        longer = now.astype(np.float32) @ now.astype(np.float32) > 0
+        if (longer == now).all():
+            return now
+        now = longer
 
 
 def closes_cycle(adjacency: np.ndarray, a: int, b: int) -> bool:

@@ -1,4 +1,4 @@
-"""The row before, within a key, without one task per key."""
+"""The row before and running sums, within a key, without one task per key."""
 
 from __future__ import annotations
 
@@ -23,3 +23,21 @@ def before(df: DataFrame, key: str, order: list[str], value: str, out: str) -> D
     earlier = last.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(key).orderBy("_range"))).select(F.col(key).alias("_k"), F.col("_range").alias("_r"), "_earlier")
     joined = known.join(earlier, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")), "left")
     return joined.withColumn(out, F.coalesce("_here", "_earlier")[value]).drop("_here", "_earlier", "_k", "_r", "_range")
+
+
+def running(df: DataFrame, keys: list[str], order: str, amount: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``amount`` over the rows of the key up to this one; ``order`` is distinct within a key.
+
+    Range-partitioned as above: a window sums within a partition, and the sums of earlier partitions of the key, of which
+    there is one row each, are added.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*keys, order)]
+    ranged = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    inner = ranged.withColumn("_own", F.sum(amount).over(Window.partitionBy(*keys, "_range").orderBy(F.col(order).asc_nulls_first())))
+    total = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_t"))
+    up = total.withColumn("_before", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = up.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inner.join(offsets, same).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_range", "_r", *[f"_k{i}" for i in range(len(keys))])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from math import log
+from math import lgamma, log
+from operator import add
 
 import numpy as np
 
@@ -51,8 +52,15 @@ def grow(table: np.ndarray, alpha: float, n: float, by: str, empty: bool, max_de
     k = table.shape[-1]
     leaf_count = 1
 
+    share, rest = alpha / k, (lgamma(alpha) - k * lgamma(alpha / k) if by == "k2" else 0.0)
+
     def value(rows: np.ndarray) -> np.ndarray:
-        return leaf_k2(rows, alpha) if by == "k2" else leaf_likelihood(rows, alpha / k)
+        if by != "k2":
+            return leaf_likelihood(rows, share)
+        if rows.size > 64:
+            return leaf_k2(rows, alpha)
+        # few cells: plain numbers are faster than arrays
+        return np.array([rest - lgamma(sum(r) + alpha) + sum(lgamma(x + share) for x in r) for r in np.atleast_2d(rows).tolist()]).reshape(rows.shape[:-1])
 
     def build(block: np.ndarray, axes: tuple[int, ...], depth: int) -> Tree:
         nonlocal leaf_count
@@ -92,25 +100,31 @@ def tree_score(table: np.ndarray, alpha: float, n: float, **caps) -> float:
 def graph_score(table: np.ndarray, alpha: float, n: float, by: str = "k2", **caps) -> float:
     """Dirichlet score of a decision graph: at every inner node, from below, leaves are pooled while that helps."""
 
-    def value(c: np.ndarray) -> float:
-        return float(leaf_k2(c, alpha)) if c.sum() > 0 else 0.0
+    k = table.shape[-1]
+    share, rest = alpha / k, lgamma(alpha) - k * lgamma(alpha / k)
+
+    def value(c: tuple[float, ...]) -> float:
+        total = sum(c)
+        return rest - lgamma(total + alpha) + sum(lgamma(x + share) for x in c) if total > 0 else 0.0
 
-    def pooled(node: Tree) -> list[np.ndarray]:
+    def pooled(node: Tree) -> list[tuple[tuple[float, ...], float]]:
         if not node.children:
-            return [node.counts]
+            counts = tuple(node.counts.tolist())
+            return [(counts, value(counts))]
         groups = [g for c in node.children for g in pooled(c)]
         at = 0
         while at < len(groups):  # the first pair that improves is pooled and goes to the end
+            one, own = groups[at]
             for j in range(at + 1, len(groups)):
-                both = groups[at] + groups[j]
-                if value(both) - value(groups[at]) - value(groups[j]) > 0:
-                    groups = [g for i, g in enumerate(groups) if i not in (at, j)] + [both]
+                both = tuple(map(add, one, groups[j][0]))
+                if (score := value(both)) - own - groups[j][1] > 0:
+                    groups = [g for i, g in enumerate(groups) if i not in (at, j)] + [(both, score)]
                     at = -1
                     break
             at += 1
         return groups
 
-    return sum(map(value, pooled(grow(table, alpha, n, by, False, **caps))))
+    return sum(score for _, score in pooled(grow(table, alpha, n, by, False, **caps)))
 
 
 KINDS = ("bic", "aic", "k2", "k2_pen", "ebna", "dt", "dg")

@@ -120,7 +120,8 @@ def add_only(p: Problem, scores: Scores) -> np.ndarray:
     a = np.zeros((p.n_vars, p.n_vars), dtype=int)
     scores.prefetch([(v, (u,)) for v in range(p.n_vars) for u in p.candidates(v)])
     for v in range(p.n_vars):
-        free = (lambda _: True) if p.place is not None else (lambda u, v=v: not G.closes_cycle(a, u, v))
+        below = G.descendants(a, v)  # parents given to v don't change what lies below it
+        free = (lambda _: True) if p.place is not None else (lambda u, below=below: u not in below)
         for u in _greedy(scores, v, p.candidates(v), p.cap(v), ok=free):
             a[u, v] = 1
     return a
@@ -148,78 +149,91 @@ def checked_start(p: Problem, start: np.ndarray | None) -> np.ndarray:
 ADD, DELETE, REVERSE = 0, 1, 2
 
 
-def _moves(p: Problem, scores: Scores, a: np.ndarray) -> list[tuple[float, int, int, int]]:
-    """(gain, operation, u, v) of every legal change, scored in one batch."""
-    found = []
-    pars = [G.parents(a, v) for v in range(p.n_vars)]
-    for u in range(p.n_vars):
-        for v in range(p.n_vars):
-            if u == v:
-                continue
-            if a[u, v]:
-                found.append((DELETE, u, v))
-                if p.allowed(v, u) and len(pars[u]) < p.cap(u) and scores.fits(u, [*pars[u], v]):
-                    a[u, v] = 0
-                    if not G.closes_cycle(a, v, u):
-                        found.append((REVERSE, u, v))
-                    a[u, v] = 1
-            elif not a[v, u] and p.allowed(u, v) and len(pars[v]) < p.cap(v) and scores.fits(v, [*pars[v], u]) and (p.place is not None or not G.closes_cycle(a, u, v)):
-                found.append((ADD, u, v))
-    needed = [(v, pars[v]) for v in range(p.n_vars)]
-    for op, u, v in found:
-        needed.append((v, [*pars[v], u] if op == ADD else [x for x in pars[v] if x != u]))
-        if op == REVERSE:
-            needed.append((u, [*pars[u], v]))
-    scores.prefetch(needed)
-    out = []
-    for op, u, v in found:
-        gain = scores.local(v, [*pars[v], u] if op == ADD else [x for x in pars[v] if x != u]) - scores.local(v, pars[v])
+class _Climb:
+    """A graph under change, with the gain of every addition and deletion kept as matrices.
+
+    A change of v's parents touches only v's column; what closes a cycle is read from the closure of the graph.
+    """
+
+    def __init__(self, p: Problem, scores: Scores, a: np.ndarray) -> None:
+        self.p, self.scores, self.a, n = p, scores, a, p.n_vars
+        self.allowed = np.array([[p.allowed(u, v) for v in range(n)] for u in range(n)])
+        self.caps = np.array([p.cap(v) for v in range(n)])
+        self.add, self.drop = np.full((n, n), -np.inf), np.full((n, n), -np.inf)
+        self.refresh(range(n))
+
+    def refresh(self, columns: Sequence[int]) -> None:
+        p, s = self.p, self.scores
+        trials: dict[int, tuple[list[int], list[int]]] = {}
+        for v in columns:
+            now = G.parents(self.a, v)
+            room = len(now) < self.caps[v]
+            trials[v] = now, [u for u in range(p.n_vars) if room and not self.a[u, v] and self.allowed[u, v] and s.fits(v, [*now, u])]
+        s.prefetch([(v, t) for v, (now, more) in trials.items() for t in [now, *[[*now, u] for u in more], *[[x for x in now if x != u] for u in now]]])
+        for v, (now, more) in trials.items():
+            base = s.local(v, now)
+            self.add[:, v] = self.drop[:, v] = -np.inf
+            for u in more:
+                self.add[u, v] = s.local(v, [*now, u]) - base
+            for u in now:
+                self.drop[u, v] = s.local(v, [x for x in now if x != u]) - base
+
+    def gains(self) -> np.ndarray:
+        """Gains by operation and edge; minus infinity where a change isn't legal."""
+        on = self.a > 0
+        reach = G.closure_of(self.a)
+        add = np.where(on | on.T | reach.T, -np.inf, self.add)
+        other_way = (self.a @ reach.astype(int) - self.a) > 0
+        turn = np.where(on & ~other_way, self.drop + self.add.T, -np.inf)
+        return np.stack([add, np.where(on, self.drop, -np.inf), turn])
+
+    def apply(self, op: int, u: int, v: int) -> None:
+        self.a[u, v] = int(op == ADD)
         if op == REVERSE:
-            gain += scores.local(u, [*pars[u], v]) - scores.local(u, pars[u])
-        out.append((gain, op, u, v))
-    return out
+            self.a[v, u] = 1
+        self.refresh([v, u] if op == REVERSE else [v])
 
 
-def _apply(a: np.ndarray, op: int, u: int, v: int) -> None:
-    a[u, v] = int(op == ADD)
-    if op == REVERSE:
-        a[v, u] = 1
+def _best(gains: np.ndarray) -> tuple[float, int, int, int]:
+    """The largest gain; among equals the first operation and the smallest edge, which is the first in memory."""
+    op, u, v = np.unravel_index(int(np.argmax(gains)), gains.shape)
+    return float(gains[op, u, v]), int(op), int(u), int(v)
 
 
 def hill_climb(p: Problem, scores: Scores, start: np.ndarray | None = None, max_iter: int = 500, least: float = 0.0) -> np.ndarray:
     """The best change of all each time: additions before deletions before reversals among equals, then the smaller edge."""
-    a = checked_start(p, start)
+    c = _Climb(p, scores, checked_start(p, start))
     steps = 0
     while steps < max_iter:
-        moves = _moves(p, scores, a)
-        if not moves:
+        gain, op, u, v = _best(c.gains())
+        if not gain > least:
             break
-        gain, op, u, v = max(moves, key=lambda m: (m[0], -m[1], -m[2], -m[3]))
-        if gain <= least:
-            break
-        _apply(a, op, u, v)
+        c.apply(op, u, v)
         steps += 1
     p.notes["iterations"] = steps
-    return a
+    return c.a
 
 
 def tabu(p: Problem, scores: Scores, start: np.ndarray | None = None, length: int = 10, max_iter: int = 500) -> np.ndarray:
     """Best allowed change even if it loses; a change's inverse is barred for a while unless it leads beyond the best seen."""
-    a = checked_start(p, start)
-    now = best = scores.total(a)
-    kept, barred, idle = a.copy(), [], 0
+    c = _Climb(p, scores, checked_start(p, start))
+    now = best = scores.total(c.a)
+    kept, barred, idle = c.a.copy(), [], 0
     patience = max(5 * length, 50)
     for _ in range(max_iter):
-        moves = [m for m in _moves(p, scores, a) if m[1:] not in barred or now + m[0] > best]
-        if not moves or idle >= patience:
+        gains = c.gains()
+        for move in barred:
+            if not now + gains[move] > best:
+                gains[move] = -np.inf
+        gain, op, u, v = _best(gains)
+        if gain == -np.inf or idle >= patience:
             break
-        gain, op, u, v = max(moves, key=lambda m: (m[0], -m[1], -m[2], -m[3]))
-        _apply(a, op, u, v)
+        c.apply(op, u, v)
         now += gain
         barred = [*barred, {ADD: (DELETE, u, v), DELETE: (ADD, u, v), REVERSE: (REVERSE, v, u)}[op]][-length:]
         idle += 1
         if now > best + 1e-12:
-            best, kept, idle = now, a.copy(), 0
+            best, kept, idle = now, c.a.copy(), 0
     return kept
 
 
@@ -286,7 +300,8 @@ def rooted_vote(p: Problem, scores: Scores) -> np.ndarray:
                     continue
                 start = [root]
             mine = [u for u in range(n) if p.joinable(u, v)]
-            for u in _greedy(scores, v, mine, p.cap(v), start, ok=lambda u, v=v, local=local: not G.closes_cycle(local, u, v)):
+            below = G.descendants(local, v)
+            for u in _greedy(scores, v, mine, p.cap(v), start, ok=lambda u, below=below: u not in below):
                 local[u, v] = 1
         votes += local
     ranked = []

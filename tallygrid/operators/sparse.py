@@ -222,6 +222,7 @@ def notears(p: Problem, sparsity: float = 0.01, threshold: float = 0.3, rounds:
     def unpack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (z[: n * n] - z[n * n : 2 * n * n]).reshape(n, n), z[2 * n * n : 2 * n * n + n] - z[2 * n * n + n :]
 
+    @np.errstate(over="ignore", invalid="ignore")  # steps that are too long are taken back
     def objective(z: np.ndarray, rho: float, alpha: float) -> tuple[float, np.ndarray]:
         weights, bias = unpack(z)
         weights = weights * open_

@@ -205,7 +205,7 @@ def gram_matrix(spark, d):
     cols = [(v, s) for v in range(5) for s in range(1, X.CARDS[v])]
     hot = F.array_compact(F.array(*[F.when(F.col(f"x{v}") == s, F.lit(i)) for i, (v, s) in enumerate(cols)]))
     rows = t.df.select(hot.alias("h"), "w")
-    return rows.select(F.explode("h").alias("i"), "h", "w").select("i", F.explode("h").alias("j"), "w").groupBy("i", "j").agg(F.sum("w").alias("g"))
+    return rows.select(F.explode_outer("h").alias("i"), "h", "w").select("i", F.explode_outer("h").alias("j"), "w").filter("i IS NOT NULL").groupBy("i", "j").agg(F.sum("w").alias("g"))
 
 
 def smoothness_laplacian(spark, d, alpha: float = 0.4, beta: float = 0.9):

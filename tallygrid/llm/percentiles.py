@@ -28,6 +28,8 @@ FIXED_ERROR, RELATIVE_ERROR = 0.084, 0.13
 #: Where a bracket stands for a certain one: so many standard errors.
 SURE = 6.0
 FIRST_SECTIONS, LEAST_SECTION = 3, 4
+#: Brackets up to this number, about 10 MB, are broadcast.
+MOST_SENT = 100_000
 
 
 class Compactor:
@@ -240,7 +242,9 @@ def exact(values: DataFrame, brackets: DataFrame, names: list[str], bins: int =
     bins; nothing is sorted beyond the bins of one round.
     """
     keys = [*names, "metric", "p"]
-    held = values.join(brackets.select(*keys, "target", "low", "high"), [*names, "metric"])
+    asked = cut(brackets.select(*keys, "target", "low", "high"))
+    # so few are sent to the values; more are joined by shuffle, where Spark splits what is skewed
+    held = values.join(F.broadcast(asked) if asked.count() <= MOST_SENT else asked, [*names, "metric"])
     below = F.col("value") < F.col("low")
     tally = cut(held.filter(F.col("value") <= F.col("high")).groupBy(*keys, "target", below.alias("below"), F.when(~below, F.col("value")).alias("value")).agg(F.count("*").alias("c")))
     left = tally.filter("below").groupBy(*keys).agg(F.sum("c").alias("passed"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallygrid.cluster import cut
 from tallygrid.network import Network
 from tallygrid.operators.counting import Tally
+from tallygrid.operators.ordered import first_k
 from tallygrid.operators.sampling import uniform
 
 
@@ -74,7 +75,7 @@ class Truncation(Selection):
     ratio: float = 0.5
 
     def select(self, population, n):
-        return population.orderBy(F.desc("f"), "id").limit(max(1, int(n * self.ratio)))
+        return first_k(population, [F.desc("f"), F.asc("id")], max(1, int(n * self.ratio)))
 
 
 @dataclass
@@ -101,7 +102,8 @@ class Elitist(Replacement):
     """The best of both."""
 
     def replace(self, old, new, n):
-        return old.unionByName(new).orderBy(F.desc("f"), "id").limit(n)
+        both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        return first_k(both, [F.desc("f"), F.asc("id"), F.asc("_new")], n).drop("_new")
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""The row before and running sums, within a key, without one task per key."""
+"""The row before, running sums and the first k rows, without one task per key or for all."""
 
 from __future__ import annotations
 
@@ -41,3 +41,17 @@ def running(df: DataFrame, keys: list[str], order: str, amount: str, out: str) -
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return inner.join(offsets, same).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_range", "_r", *[f"_k{i}" for i in range(len(keys))])
+
+
+def first_k(df: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows in an order (columns with their direction) that tells all rows apart.
+
+    A limit after a sort would bring k rows into one task. Here rows are range-partitioned by the order, partitions are
+    counted, and a partition keeps its rows up to what earlier ones leave of k.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    total = ranged.groupBy("_range").agg(F.count("*").alias("_t"))
+    # one row for each partition
+    offsets = total.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t").filter(F.col("_before") < k)
+    placed = ranged.join(offsets, "_range").withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before"))
+    return placed.filter(F.col("_place") <= k).drop("_range", "_before", "_place")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.functions.special import norm_cdf
 from tallygrid.operators import graphs as G
@@ -107,9 +108,50 @@ def fit_copula(x: np.ndarray, rounds: int = 100, warm: int = 30, seed: int = 0)
     return {"corr": total / max(kept, 1), "sorted": np.sort(x, axis=0)}
 
 
+@F.pandas_udf(T.DoubleType())  # a type, not its name: this module is imported before there is a session
+def _normal_score(p):
+    import pandas as pd
+
+    from tallygrid.functions.special import norm_ppf
+
+    return pd.Series(norm_ppf(p.to_numpy()))
+
+
+def fit_copula_frame(df: DataFrame, columns: list[str], bins: int = 200) -> dict:
+    """A Gaussian copula of all rows: correlations of normal scores, equal values sharing their mean rank.
+
+    Ranks come from counts by value over range partitions. The model has a fixed size: the correlations, and for each
+    column at most ``bins`` quantiles. Rows with a null or NaN are left out, since they have no place in the joint law.
+    """
+    from tallygrid.operators.ordered import running
+
+    for c in columns:
+        df = df.filter(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double")))
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{j}") for j, c in enumerate(columns)])
+    n = rows.count()
+    if n == 0:
+        raise ValueError("no whole rows to fit")
+    tables = []
+    for j in range(len(columns)):
+        counts = running(rows.groupBy(f"v{j}").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0)), ["_all"], f"v{j}", "n", "up")
+        rows = rows.join(counts.select(f"v{j}", _normal_score((F.col("up") - (F.col("n") - 1) / 2) / (n + 1)).alias(f"z{j}")), f"v{j}")
+        last = counts.groupBy(F.floor((F.col("up") - 1) * bins / n).alias("bin")).agg(F.max(f"v{j}").alias("v"), F.max("up").alias("up")).orderBy("bin").collect()  # at most ``bins`` rows
+        tables.append((np.array([r["v"] for r in last]), np.array([r["up"] for r in last]) / n))
+    d = len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = rows.agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.avg(f"z{i}").alias(f"m{i}") for i in range(d)]).first()
+    cov = np.zeros((d, d))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = sums[f"s{i}_{j}"] - sums[f"m{i}"] * sums[f"m{j}"]
+    s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    corr = cov / np.outer(s, s)
+    np.fill_diagonal(corr, 1.0)
+    return {"corr": corr, "quantiles": tables}
+
+
 def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0) -> DataFrame:
     """``id, x0`` ...: normals made dependent by the Cholesky factor, then the empirical quantile of each column."""
-    root, columns = np.linalg.cholesky(model["corr"]), model["sorted"]
+    root = np.linalg.cholesky(model["corr"] + 1e-9 * np.eye(len(model["corr"])))
     d = len(root)
     out = spark.range(n)
     for j in range(d):
@@ -124,7 +166,11 @@ def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0) -> Da
 
     for j in range(d):
         latent = sum((F.lit(float(root[j, i])) * F.col(f"_z{i}") for i in range(j + 1)), F.lit(0.0))
-        values, counts = np.unique(columns[:, j], return_counts=True)
-        cuts = F.array(*[F.lit(float(c)) for c in np.cumsum(counts)[:-1] / len(columns)]) if len(values) > 1 else F.array().cast("array<double>")
+        if "quantiles" in model:
+            values, shares = model["quantiles"][j]
+        else:
+            values, counts = np.unique(model["sorted"][:, j], return_counts=True)
+            shares = np.cumsum(counts) / counts.sum()
+        cuts = F.array(*[F.lit(float(c)) for c in shares[:-1]]) if len(values) > 1 else F.array().cast("array<double>")
         out = out.withColumn(f"_u{j}", cdf(latent)).withColumn(f"x{j}", F.get(F.array(*[F.lit(float(v)) for v in values]), F.size(F.filter(cuts, lambda c: c <= F.col(f"_u{j}")))))
     return out.select("id", *[f"x{j}" for j in range(d)])

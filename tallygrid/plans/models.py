@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from itertools import product as combos
 
 import numpy as np
@@ -12,9 +13,10 @@ from tallygrid.cluster import each_once
 from tallygrid.functions.special import chi2_isf
 from tallygrid.network import METHODS, Network, pdg_nodes
 from tallygrid.operators import counting as C
-from tallygrid.operators import eda, local_structure, relational, sampling, search, sparse
+from tallygrid.operators import eda, experiments, local_structure, relational, sampling, search, sparse
 from tallygrid.operators.counter import Counter
 from tallygrid.operators.counting import Tally
+from tallygrid.operators.ordered import first_k
 from tallygrid.plans import fixture as X
 from tallygrid.plans import statistics as S
 from tallygrid.plans.tables import table
@@ -216,14 +218,22 @@ def k_best_partition(spark, d):
     return spark.createDataFrame([(*x, round(p, 10)) for x, p in _network(spark, d).k_most_probable(6)], ", ".join([*[f"x{i} int" for i in range(5)], "p double"]))
 
 
-def approximate_marginals(spark, d):
-    """Loopy and mean-field marginals given x2 = 1."""
-    net = _network(spark, d)
-    rows = [(m, v, s, round(float(p), 6)) for m in ("loopy", "mean_field") for v, ps in enumerate(net.marginals({2: 1}, m)) for s, p in enumerate(ps)]
-    return spark.createDataFrame(rows, "method string, v int, s int, p double")
+def _marginal_rows(spark, d, method: str, digits: int) -> DataFrame:
+    rows = [(v, s, round(float(p), digits)) for v, ps in enumerate(_network(spark, d).marginals({2: 1}, method)) for s, p in enumerate(ps)]
+    return spark.createDataFrame(rows, "v int, s int, p double")
+
+
+def loopy_marginals(spark, d):
+    """Given x2 = 1; exact, as the network is a forest."""
+    return _marginal_rows(spark, d, "loopy", 4)
+
+
+def mean_field_marginals(spark, d):
+    return _marginal_rows(spark, d, "mean_field", 6)
 
 
 def map_by_messages(spark, d):
+    """Given x4 = 2, by two kinds of messages; exact, as the network is a forest."""
     net = _network(spark, d)
     rows = [(m, *net.most_probable({4: 2}, m)[0]) for m in ("loopy", "srmp")]
     return spark.createDataFrame(rows, ", ".join(["method string", *[f"x{i} int" for i in range(5)]]))
@@ -309,15 +319,14 @@ def conditioned_sample(spark, d):
 
 
 def copula_sample(spark, d):
-    """A copula fitted to a bounded sample of three runs' measures, and rows drawn from it."""
-    rows = table(spark, d, "eda_cluster_results").filter("f1 IS NOT NULL AND test_sp IS NOT NULL AND n_selected IS NOT NULL AND NOT isnan(f1) AND NOT isnan(test_sp)")
-    x = rows.select("f1", "test_sp", "n_selected").orderBy(F.xxhash64("run_id"), "run_id").limit(300).toPandas().to_numpy(dtype=float)
-    x = np.round(x, 1)
-    model = sampling.fit_copula(x, rounds=20, warm=5)
-    return sampling.sample_copula(spark, model, 1000)
+    """A copula of three measures of all runs, and rows drawn from it."""
+    runs = each_once(table(spark, d, "eda_cluster_results"), "run_id", ["f1", "test_sp", "n_selected"])
+    return sampling.sample_copula(spark, sampling.fit_copula_frame(runs, ["f1", "test_sp", "n_selected"]), N_DRAWS)
 
 
-ONES = sum((F.col(f"x{i}") for i in range(8)), F.lit(0))
+def ones(_: DataFrame):
+    """The number of ones in eight bits."""
+    return sum((F.col(f"x{i}") for i in range(8)), F.lit(0))
 
 
 def gen_statistics(spark, d):
@@ -330,19 +339,41 @@ def truncation_selection(spark, d):
     """The better half of the orders by price, ties by key."""
     o = table(spark, d, "orders")
     n = o.count()
-    return o.select(F.col("o_orderkey"), F.col("o_totalprice")).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n // 2).agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.sum("o_orderkey").alias("keys"))
+    half = first_k(o.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], n // 2)
+    return half.agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.sum("o_orderkey").alias("keys"))
 
 
 def eda_generations(spark, d):
     """Counting ones in eight bits with tree models."""
     parts = eda.Components(learning=eda.NetworkLearning("chow_liu"), stop=eda.MaxGenerations(5))
-    out = eda.run(spark, (2,) * 8, ONES, 200, parts)
+    out = eda.run(spark, (2,) * 8, ones, 200, parts)
     return spark.createDataFrame([(s.generation, s.best, s.mean, s.std, s.worst) for s in out.statistics], "generation int, best double, mean double, std double, worst double")
 
 
-LEARNERS = {f"learn_{m}": _learner(m) for m in sorted(set(METHODS) - {"binotears", "fi_k2", "rfe_k2", "chow_liu", "k2"})}
+def evaluation_vector(spark, d):
+    """Of three methods on the planted table: line numbers make the splits, the price is the objective."""
+    rows = X.rows(spark, d)
+    population = rows.select(F.xxhash64("l_orderkey", "l_partkey", "l_linenumber").alias("id"), *[f"x{i}" for i in range(5)], F.col("l_extendedprice").alias("f"), (F.col("l_linenumber") % 3).alias("split"))
+    out = []
+    for m in ("k2", "chow_liu", "stable_hc"):
+        got = experiments.evaluate(population, X.CARDS, [(0, 1), (1, 2), (0, 3)], m, 0)
+        out += [(m, k, round(float(v), 6)) for k, v in got.items() if k != "time"]
+    return spark.createDataFrame(out, "method string, measure string, value double")
+
+
+def learner_comparison(spark, d):
+    """Rates of many learners on the planted table and on the sampled states against a K2 graph of them."""
+    planted, states = counter(spark, d), mood(spark, d)
+    true = np.zeros((5, 5), dtype=int)
+    true[0, 1] = true[1, 2] = true[0, 3] = 1
+    k2 = Network(states.cards).learn_structure(states, "k2", max_parents=2).adjacency
+    got = experiments.compare_learners(spark, {"planted": (planted, true), "moodstate": (states, k2)}, ["k2", "bic", "stable_hc", "pc", "chow_liu", "lpa", "dt", "dg_ndg"])
+    return got.drop("time_s")
+
+
+LEARNERS = {f"learn_{m}": _learner(m) for m in sorted(set(METHODS) - {"binotears", "fi_k2", "rfe_k2", "k2"})}
 LEARNERS["learn_rpcd"] = _learner("rpcd")
-QUERIES = LEARNERS | {f.__name__: f for f in (learn_fi_k2, learn_rfe_k2, learn_binotears, mood_learners, variable_clusters, markov_structure, k2_structure, chow_liu_tree, exact_dp_3var, bic_addonly, markov_blanket, moral_graph, skeleton, ancestor_closure, topo_level, full_joint_enumeration, joint_probability, ve_marginal, ve_marginal_evidence, p_evidence, top_k_configs, map_config, circuit_marginals, k_best_partition, approximate_marginals, map_by_messages, factorization_tables, row_logprob, mean_ll, decision_tree_route, dt_features, local_dg_logprob, pdg_parameters, logistic_cpd, ancestral_sample, random_sample, conditioned_sample, copula_sample, gen_statistics, truncation_selection, eda_generations)}
+QUERIES = LEARNERS | {f.__name__: f for f in (learn_fi_k2, learn_rfe_k2, learn_binotears, mood_learners, variable_clusters, markov_structure, k2_structure, chow_liu_tree, exact_dp_3var, bic_addonly, markov_blanket, moral_graph, skeleton, ancestor_closure, topo_level, full_joint_enumeration, joint_probability, ve_marginal, ve_marginal_evidence, p_evidence, top_k_configs, map_config, circuit_marginals, k_best_partition, loopy_marginals, mean_field_marginals, map_by_messages, factorization_tables, row_logprob, mean_ll, decision_tree_route, dt_features, local_dg_logprob, pdg_parameters, logistic_cpd, ancestral_sample, random_sample, conditioned_sample, copula_sample, gen_statistics, truncation_selection, eda_generations, evaluation_vector, learner_comparison)}
 
 _E = "e AS (SELECT * FROM (VALUES " + ", ".join(map(str, EDGES)) + ") v(src, dst))"
 _CPD = f"WITH {X.SQL}, {X.families_sql(X.NETWORK)}, cpd AS (SELECT c.var, c.pcfg, c.state, (c.n + 1.0 / c.k) / (t.total + 1.0) AS p FROM cell c JOIN cfgt t USING (fam, pcfg))"
@@ -378,6 +409,22 @@ def _dags() -> str:
     return ", ".join(map(str, rows))
 
 
+_TREE = f"""WITH RECURSIVE {_MI_EDGES.removeprefix('WITH ')}, ed AS (SELECT i, j, row_number() OVER (ORDER BY mi DESC, i, j) AS k FROM mi WHERE 2 * t * mi > CASE WHEN i = 4 OR j = 4 THEN {_CRIT[2]!r} ELSE {_CRIT[1]!r} END),
+both_ AS (SELECT i, j, k FROM ed UNION ALL SELECT j, i, k FROM ed), reach AS (SELECT e.k AS edge, e.i AS at FROM ed e UNION SELECT r.edge, b.j FROM reach r JOIN both_ b ON b.i = r.at AND b.k < r.edge),
+tree AS (SELECT i AS u, j AS v FROM ed WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.edge = ed.k AND r.at = ed.j))"""
+
+
+def _rcd_sql() -> str:
+    """Pairs that no set of up to two others makes independent, directed by index."""
+    tests = [(i, j, z) for i, j in combinations(range(5), 2) for k in range(3) for z in combinations([v for v in range(5) if v not in (i, j)], k)]
+    crit = ", ".join(f"({k}, {chi2_isf(0.05, k)!r})" for k in range(1, 25))
+    pairs = ", ".join(f"({r}, {i}, {j}, {0 if z else (X.CARDS[i] - 1) * (X.CARDS[j] - 1)})" for r, (i, j, z) in enumerate(tests))
+    return f"""{S._triples(tests)}, s AS (SELECT req, z, sum(n * n * nz / (na * nb)) - max(nz) AS s, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS d FROM m GROUP BY req, z),
+t AS (SELECT req, sum(CASE WHEN d > 0 THEN s ELSE 0 END) AS s, sum(d) AS d FROM s GROUP BY req), p AS (SELECT * FROM (VALUES {pairs}) v(req, i, j, f)), c AS (SELECT * FROM (VALUES {crit}) v(d, x)),
+r AS (SELECT i, j, coalesce(t.s < c.x, true) AS free FROM p LEFT JOIN t USING (req) LEFT JOIN c ON c.d = CASE WHEN f > 0 THEN f ELSE t.d END)
+SELECT i AS src, j AS dst FROM r GROUP BY i, j HAVING NOT bool_or(free)"""
+
+
 _BIC = S.SQL["bic_local"].replace("SELECT fam, round(", "SELECT fam, (", 1).replace(", 4) AS score", ") AS score", 1)
 _BIC_CTE = _BIC.rsplit(" SELECT fam, (", 1)
 _BIC_SC = f"{_BIC_CTE[0]}, sc AS (SELECT fam, ({_BIC_CTE[1]})"  # closes the CTE
@@ -389,6 +436,12 @@ SQL = {
     "chow_liu_tree": f"""WITH RECURSIVE {_MI_EDGES.removeprefix('WITH ')}, ed AS (SELECT i, j, row_number() OVER (ORDER BY mi DESC, i, j) AS k FROM mi WHERE 2 * t * mi > CASE WHEN i = 4 OR j = 4 THEN {_CRIT[2]!r} ELSE {_CRIT[1]!r} END),
 both_ AS (SELECT i, j, k FROM ed UNION ALL SELECT j, i, k FROM ed), reach AS (SELECT e.k AS edge, e.i AS at FROM ed e UNION SELECT r.edge, b.j FROM reach r JOIN both_ b ON b.i = r.at AND b.k < r.edge)
 SELECT i AS u, j AS v FROM ed WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.edge = ed.k AND r.at = ed.j)""",
+    "learn_chow_liu": f"{_TREE}, tb AS (SELECT u, v FROM tree UNION ALL SELECT v, u FROM tree), far AS (SELECT u AS a, u AS b FROM tb UNION SELECT f.a, t.v FROM far f JOIN tb t ON t.u = f.b), root AS (SELECT a, min(b) AS r FROM far GROUP BY a), walk AS (SELECT DISTINCT r AS here, r AS came, 0 AS depth FROM root UNION SELECT t.v, w.here, w.depth + 1 FROM walk w JOIN tb t ON t.u = w.here AND t.v <> w.came WHERE w.depth < 5) SELECT came AS src, here AS dst FROM walk WHERE depth > 0",
+    "learn_rcd": _rcd_sql(),
+    "learn_rpcd": _rcd_sql(),
+    "learn_univ_bn": "SELECT 0 AS src, 0 AS dst WHERE false",
+    "loopy_marginals": f"{_JOINT}, m AS (" + " UNION ALL ".join(f"SELECT {v} AS v, x{v} AS s, sum(p) FILTER (x2 = 1) AS p FROM joint GROUP BY ALL" for v in range(5)) + ") SELECT v, s, round(coalesce(p, 0) / (SELECT sum(p) FROM joint WHERE x2 = 1), 4) AS p FROM m",
+    "map_by_messages": f"{_JOINT}, b AS (SELECT {_COLS} FROM joint WHERE x4 = 2 ORDER BY joint.p DESC, {_COLS} LIMIT 1) SELECT 'loopy' AS method, {_COLS} FROM b UNION ALL SELECT 'srmp', {_COLS} FROM b",
     "exact_dp_3var": f"{_BIC_SC}, g AS (SELECT * FROM (VALUES {_dags()}) v(a, b, c)) SELECT round(max(x.score + y.score + z.score), 3) AS score FROM g JOIN sc x ON x.fam = a JOIN sc y ON y.fam = b JOIN sc z ON z.fam = c",
     "bic_addonly": f"{_BIC_SC}, r AS (SELECT v.v, v.u, s.score, row_number() OVER (PARTITION BY v.v ORDER BY s.score DESC, v.u) AS r FROM (VALUES {', '.join(f'({v}, {u}, {_ONE[v, (u,)]})' for v in range(5) for u in range(v))}) v(v, u, fam) JOIN sc s USING (fam)), b AS (SELECT v.v, s.score FROM (VALUES {', '.join(f'({v}, {_ONE[v, ()]})' for v in range(5))}) v(v, fam) JOIN sc s USING (fam)) SELECT r.u AS src, r.v AS dst FROM r JOIN b USING (v) WHERE r.r = 1 AND r.score > b.score",
     "markov_blanket": f"WITH {_E} SELECT DISTINCT v, u FROM (SELECT src AS v, dst AS u FROM e UNION ALL SELECT dst, src FROM e UNION ALL SELECT a.src, b.src FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src)",

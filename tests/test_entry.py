@@ -12,6 +12,13 @@ def test_queries_and_their_sql():
     assert all(callable(f) for f in queries.values())
 
 
+def test_names_can_be_read_without_a_session():
+    import subprocess
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0], capture_output=True, timeout=120).returncode == 0
+
+
 def test_the_rest_stands_without_the_optional_subpackage(monkeypatch):
     class Absent:
         def find_spec(self, name, path=None, target=None):

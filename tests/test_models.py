@@ -143,6 +143,14 @@ def test_copula_keeps_the_correlation(spark):
     assert model["corr"][0, 1] > 0.6 and abs(model["corr"][0, 2]) < 0.2
     drawn = sampling.sample_copula(spark, model, 3000, seed=1).toPandas()
     assert np.corrcoef(drawn.x0, drawn.x1)[0, 1] > 0.5 and set(drawn.x1) <= {0, 1, 2, 3}
+    df = spark.createDataFrame([*map(tuple, x.tolist()), (None, 1, 1)], "a int, b int, c int")
+    whole = sampling.fit_copula_frame(df, ["a", "b", "c"])
+    assert 0.6 < whole["corr"][0, 1] < 0.9 and abs(whole["corr"][0, 2]) < 0.2
+    again = sampling.sample_copula(spark, whole, 4000, seed=1).toPandas()
+    for j, name in enumerate(("x0", "x1", "x2")):
+        assert np.allclose(np.bincount(again[name].astype(int), minlength=4) / 4000, np.bincount(x[:, j], minlength=4) / 400, atol=0.04)
+    with pytest.raises(ValueError):
+        sampling.fit_copula_frame(df.limit(0), ["a"])
 
 
 def test_logistic_tables(spark):

@@ -77,6 +77,17 @@ def test_running_sums_span_partitions(spark):
     assert got == {(k, o): sum(n for kk, oo, n in rows if kk == k and oo <= o) for k, o, _ in rows}
 
 
+def test_first_rows_are_those_of_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    from tallygrid.operators.ordered import first_k
+
+    df = spark.createDataFrame([(i * 37 % 50, i) for i in range(500)], "f int, id int").repartition(6)
+    for k in (0, 1, 123, 900):
+        got = sorted((r.f, r.id) for r in first_k(df, [F.desc("f"), F.asc("id")], k).collect())
+        assert got == sorted(sorted(((i * 37 % 50, i) for i in range(500)), key=lambda t: (-t[0], t[1]))[:k])
+
+
 BATCHES = "batch_id bigint, stream string, exported_at timestamp, delimiter string, header string, n_lines int"
 LINES = "batch_id bigint, line_no int, line string"
 

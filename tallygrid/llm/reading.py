@@ -43,7 +43,7 @@ FEATURES = "ident {kind}, lang string, n_letters bigint, n_words bigint, n_sente
 def _tools():
     import regex
 
-    return regex.compile(TERMS).findall, regex.compile(r"[\p{L}\p{Nd}]").findall, regex.compile(r"[.!?]+(?=\s|\Z)").findall, regex.compile(r"[\p{L}\p{Nd}]").search
+    return regex.compile(TERMS).findall, regex.compile(r"[^\p{L}\p{Nd}]+").findall, regex.compile(r"[.!?]+(?=\s|\Z)").findall, regex.compile(r"[\p{L}\p{Nd}]").search
 
 
 def features(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -51,8 +51,9 @@ def features(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: s
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_of, letters_of, ends_of, has_letter = _tools()
+        terms_of, others_of, ends_of, has_letter = _tools()
         known: dict[str, tuple[int, int]] = {}
+        words_known: dict[str, tuple[int, int]] = {}
         han = re.compile(HAN)
 
         def coded(term: str, paired: bool = False) -> tuple[int, int]:
@@ -69,15 +70,19 @@ def features(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: s
             letters, words, ends, lists = [], [], [], []
             for t in batch.column("text").to_pylist():
                 t = t or ""
-                letters.append(len(letters_of(t)))
-                words.append(sum(1 for w in t.split() if has_letter(w)))
+                letters.append(len(t) - sum(map(len, others_of(t))))
+                words.append(sum(1 for w in t.split() if w[0].isalpha() or has_letter(w)))
                 ends.append(max(1, len(ends_of(t))))
                 own = []
                 for term in terms_of(t):
-                    if "⺀" <= term[0] and term[0] > "　" and not term[0].isnumeric():
+                    if (got := words_known.get(term)) is not None:
+                        own.append(got)
+                    elif "⺀" <= term[0] and term[0] > "　" and not term[0].isnumeric():
                         own += [coded(term[i : i + 2], True) for i in range(max(1, len(term) - 1))]
                     elif term.strip("'’"):
-                        own.append(coded(term))
+                        own.append(words_known.setdefault(term, coded(term)))
+                if len(words_known) > 500_000:
+                    words_known.clear()
                 lists.append(own)
             stops = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
             flat = list(chain.from_iterable(lists))
@@ -184,7 +189,7 @@ def fit(feats: DataFrame, rounds: int = 6, prior: float = 1.0) -> Model:
                 at = now.levels(index, sizes, lang)
                 sums += np.bincount(index, weights=np.repeat(GRID[at], sizes), minlength=n)
                 # the histogram of levels, by words, in the first places of each language
-                np.add.at(seen, lang * BINS + at, sizes)
+                seen += np.bincount(lang * BINS + at, weights=sizes, minlength=n)
             yield _emit({"t": sums, "h": seen})
 
         sums, seen = _summed(feats.select("lang", "terms").mapInArrow(step, "i bigint, t double, h double"), n, ["t", "h"])

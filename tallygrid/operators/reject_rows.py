@@ -27,6 +27,8 @@ BOM = "﻿"
 BLANKS = " \t"
 #: Fields that are well-formed as to quotes: wholly quoted, or without any.
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^",][^",]*|)'
+csv.field_size_limit(1 << 31)  # fields of any length
+FIELD = re.compile(_FIELD, re.DOTALL)
 WELL_QUOTED = re.compile(f"{_FIELD}(?:,{_FIELD})*", re.DOTALL)
 DIGITS = re.compile(r"[0-9]+")
 NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
@@ -104,27 +106,31 @@ def bare(line: str) -> str:
 
 
 def split_strict(line: str) -> list[str]:
-    """The fields of one line; csv.Error where the quoting is broken."""
-    if '"' not in line:
-        return line.split(",")  # what the reader does with such a line, line ends within it apart
+    """The fields of one line; csv.Error where the quoting is broken.
+
+    The strict reader refuses open quotes and text after a closing one. It takes a quote inside an unquoted field as
+    an ordinary character, so that is looked for afterwards.
+    """
+    if "\r" not in line and "\n" not in line:
+        fields = next(csv.reader([line], strict=True)) or [""]
+        if '"' in line and not WELL_QUOTED.fullmatch(line):
+            raise csv.Error("a quote in an unquoted field")
+        return fields
+    # the reader would end the record at the line end; such fields are cut by the pattern
     if not WELL_QUOTED.fullmatch(line):
-        raise csv.Error("quote out of place")
-    if "\r" in line or "\n" in line:
-        # the reader would end the record here; well-formed fields are cut by the pattern instead
-        cut, at, out = re.compile(_FIELD, re.DOTALL), 0, []
-        while True:
-            m = cut.match(line, at)
-            field = m[0]
-            out.append(field[1:-1].replace('""', '"') if field[:1] == '"' else field)
-            if m.end() >= len(line):
-                return out
-            at = m.end() + 1
-    return next(csv.reader([line], strict=True), [""])
+        raise csv.Error("quotes out of place")
+    at, out = 0, []
+    while True:
+        field = FIELD.match(line, at)
+        text = field[0]
+        out.append(text[1:-1].replace('""', '"') if text[:1] == '"' else text)
+        if field.end() >= len(line):
+            return out
+        at = field.end() + 1
 
 
 def read_batch(lines: list[str]) -> Iterator[list[str] | None]:
     """The fields of each line, None where the quoting is broken."""
-    csv.field_size_limit(1 << 31)
     plain = [x for x in lines if '"' not in x and "\r" not in x and "\n" not in x and x]
     reader = csv.reader(plain, strict=True)
     for line in lines:

@@ -35,14 +35,13 @@ class Tally:
         cards = tuple(int(k) for k in cards)
         if len(cards) != len(columns) or any(k < 2 for k in cards):
             raise ValueError("every variable needs at least two states")
-        xs = [F.col(f"`{c}`").cast("int").alias(f"x{i}") for i, c in enumerate(columns)]
-        rows = df.select(*xs, (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
-        valid = [F.coalesce(F.col(f"x{i}").between(0, k - 1), F.lit(False)) for i, k in enumerate(cards)]
+        xs = [f"CAST(`{c}` AS INT) AS x{i}" for i, c in enumerate(columns)]
+        rows = df.select(*map(F.expr, xs), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
         if strict:
-            rows = rows.select(*[F.when(v, F.col(f"x{i}")).otherwise(F.raise_error(F.lit(f"a value of variable {i} is no state"))).cast("int").alias(f"x{i}") for i, v in enumerate(valid)], "w")
+            checked = [f"CASE WHEN x{i} BETWEEN 0 AND {k - 1} THEN x{i} ELSE CAST(raise_error('a value of variable {i} is no state') AS INT) END AS x{i}" for i, k in enumerate(cards)]
+            rows = rows.selectExpr(*checked, "w")
         else:
-            for v in valid:
-                rows = rows.filter(v)
+            rows = rows.filter(" AND ".join(f"x{i} BETWEEN 0 AND {k - 1}" for i, k in enumerate(cards)))
         return Tally(rows.groupBy(*[f"x{i}" for i in range(len(cards))]).agg(F.sum("w").alias("w")), cards)
 
     @staticmethod

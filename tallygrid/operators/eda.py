@@ -65,7 +65,7 @@ class Change(Part):
 
 class UniformSeeding(Seeding):
     def seed(self, spark, cards, n, seed):
-        return spark.range(n).select("id", *[F.floor(uniform(seed, v) * k).cast("int").alias(f"x{v}") for v, k in enumerate(cards)])
+        return spark.range(n).select("id", *[F.expr(f"CAST(floor(({uniform(seed, v)}) * {k}) AS INT)").alias(f"x{v}") for v, k in enumerate(cards)])
 
 
 @dataclass

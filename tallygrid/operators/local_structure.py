@@ -57,20 +57,20 @@ class LocalTable:
             out[on] = leaf
         return out
 
-    def route_column(self, prefix: str = "x") -> Column:
-        """The same as one expression, which Spark compiles."""
+    def route_sql(self, prefix: str = "x") -> str:
+        """The same as one SQL expression, which Spark compiles."""
         numbered = iter(self.leaf_of)
 
-        def build(node: Tree) -> Column:
+        def build(node: Tree) -> str:
             if not node.children:
-                return F.lit(next(numbered))
-            column, made = F.col(f"{prefix}{self.parents[node.split]}"), [build(c) for c in node.children]
-            out = F.when(column == 0, made[0])
-            for s, m in enumerate(made[1:], 1):
-                out = out.when(column == s, m)
-            return out
-
-        return build(self.root).cast("int")
+                return str(next(numbered))
+            cases = " ".join(f"WHEN {s} THEN {build(c)}" for s, c in enumerate(node.children))
+            return f"CASE {prefix}{self.parents[node.split]} {cases} END"
+
+        return f"CAST({build(self.root)} AS INT)"
+
+    def route_column(self, prefix: str = "x") -> Column:
+        return F.expr(self.route_sql(prefix))
 
     def dense(self) -> np.ndarray | None:
         """The full table, first parent fastest; None beyond ``MOST_CELLS`` configurations."""

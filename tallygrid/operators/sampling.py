@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,9 @@ from tallygrid.operators.factors import Circuit, Tables
 from tallygrid.operators.local_structure import LocalTable
 
 
-def uniform(seed: int, v: int) -> Column:
-    """A uniform number in [0, 1) of row ``id`` and variable: 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(v), F.lit(seed)), 11).cast("double") / float(1 << 53)
+def uniform(seed: int, v: int) -> str:
+    """A uniform number in [0, 1) of row ``id`` and variable, as SQL: 53 bits of a hash."""
+    return f"shiftrightunsigned(xxhash64(id, {int(v)}, {int(seed)}), 11) / {float(1 << 53)!r}D"
 
 
 def clean(table: np.ndarray) -> np.ndarray:
@@ -27,32 +27,39 @@ def clean(table: np.ndarray) -> np.ndarray:
     return np.where(total > 0, t / np.where(total > 0, total, 1), 1 / t.shape[1])
 
 
-def draw(u: Column, row: Column, table: np.ndarray) -> Column:
-    """The state whose cumulated probability passes u."""
+def draw(u: str, row: str, table: np.ndarray) -> str:
+    """The state whose cumulated probability passes u, as SQL: text needs one call to the JVM, columns one for each number."""
     cuts = np.cumsum(clean(table), axis=1)[:, :-1]
-    rows = F.array(*[F.array(*[F.lit(float(c)) for c in r]) for r in cuts])
-    return F.size(F.filter(F.get(rows, row.cast("int")), lambda c: c <= u)).cast("int")
+    rows = "array(" + ", ".join("array(" + ", ".join(f"{float(c)!r}D" for c in r) + ")" for r in cuts) + ")"
+    return f"size(filter(get({rows}, CAST({row} AS INT)), c -> c <= {u}))"
 
 
-def _index(cards: tuple[int, ...], parents: tuple[int, ...]) -> Column:
-    out, stride = F.lit(0), 1
-    for u in parents:
-        out, stride = out + F.col(f"x{u}") * stride, stride * cards[u]
-    return out
+def _index(cards: tuple[int, ...], parents: tuple[int, ...]) -> str:
+    terms, stride = ["0"], 1
+    for p in parents:
+        terms.append(f"x{p} * {stride}")
+        stride *= cards[p]
+    return " + ".join(terms)
 
 
-def ancestral(spark: SparkSession, t: Tables, n: int, seed: int = 0, local: dict[int, LocalTable] | None = None, rows: DataFrame | None = None, u: Callable[[int], Column] | None = None) -> DataFrame:
+def ancestral(spark: SparkSession, t: Tables, n: int, seed: int = 0, local: dict[int, LocalTable] | None = None, rows: DataFrame | None = None, u: Callable[[int], str] | None = None) -> DataFrame:
     """``id`` and ``x0`` ...: parents before children. Variables with local structure are routed to their leaf."""
     order = G.topological(t.adjacency())
     if order is None:
         raise ValueError("the graph has a cycle")
     out = spark.range(n) if rows is None else rows
+    level: dict[int, int] = {}
     for v in order:
-        if local and v in local:
-            row, table = local[v].route_column(), local[v].probs
-        else:
-            row, table = _index(t.cards, t.parents[v]), t.probs[v]
-        out = out.withColumn(f"x{v}", draw(u(v) if u else uniform(seed, v), row, table))
+        level[v] = 1 + max((level[p] for p in t.parents[v]), default=-1)
+    for depth in range(max(level.values(), default=-1) + 1):  # variables of one level are one projection
+        made = []
+        for v in [v for v in order if level[v] == depth]:
+            if local and v in local:
+                row, table = local[v].route_sql(), local[v].probs
+            else:
+                row, table = _index(t.cards, t.parents[v]), t.probs[v]
+            made.append(f"{draw(u(v) if u else uniform(seed, v), row, table)} AS x{v}")
+        out = out.selectExpr("*", *made)
     return out.select("id", *[f"x{v}" for v in range(t.n)])
 
 
@@ -62,7 +69,7 @@ def conditioned(spark: SparkSession, c: Circuit, n: int, given=None, seed: int =
         raise ValueError("the evidence is impossible")
     out, cards = spark.range(n), c.tables.cards
     for overlap, new, table in c.clique_conditionals(given):
-        out = out.withColumn("_new", draw(uniform(seed, new[0]), _index(cards, overlap), table))
+        out = out.withColumn("_new", F.expr(draw(uniform(seed, new[0]), _index(cards, overlap), table)))
         stride = 1
         for v in new:
             out = out.withColumn(f"x{v}", (F.floor(F.col("_new") / stride) % cards[v]).cast("int"))
@@ -155,7 +162,7 @@ def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0) -> Da
     d = len(root)
     out = spark.range(n)
     for j in range(d):
-        u1, u2 = uniform(seed, 2 * j), uniform(seed, 2 * j + 1)
+        u1, u2 = F.expr(uniform(seed, 2 * j)), F.expr(uniform(seed, 2 * j + 1))
         out = out.withColumn(f"_z{j}", F.sqrt(-2 * F.log(1 - u1)) * F.cos(u2 * float(2 * np.pi)))
 
     @F.pandas_udf("double")

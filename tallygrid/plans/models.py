@@ -298,12 +298,15 @@ def logistic_cpd(spark, d):
 N_DRAWS = 20_000
 
 
+def _arithmetic(v: int) -> str:
+    a = f"((id * 7919 + {v * 15485863}) % {X.PRIME})"
+    return f"(({a} * {a} + 3 * {a} + {v}) % {X.PRIME}) / {float(X.PRIME)!r}D"
+
+
 def ancestral_sample(spark, d):
     """Counts of rows drawn with arithmetic numbers in place of random ones."""
     net = _network(spark, d)
-    a = lambda v: (F.col("id") * 7919 + v * 15485863) % X.PRIME
-    u = lambda v: ((a(v) * a(v) + 3 * a(v) + v) % X.PRIME) / F.lit(float(X.PRIME))
-    drawn = sampling.ancestral(spark, net.tables, N_DRAWS, u=u)
+    drawn = sampling.ancestral(spark, net.tables, N_DRAWS, u=lambda v: f"({_arithmetic(v)})")
     return drawn.groupBy(*[f"x{i}" for i in range(5)]).agg(F.count("*").alias("n"))
 
 

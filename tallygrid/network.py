@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -359,6 +358,3 @@ def pdg_nodes(local: dict[int, local_structure.LocalTable]) -> list[tuple[int, t
 def exact_tables(tally: Tally, network: Network, alpha: float = 1.0) -> DataFrame:
     """The network's tables as a DataFrame, counted by Spark in one pass."""
     return cpds(tally, network.families(), alpha)
-
-
-__all__ = ["ALIASES", "METHODS", "Factorization", "Network", "combinations", "exact_tables", "pdg_nodes"]

@@ -11,7 +11,7 @@ import numpy as np
 
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
-from tallygrid.operators.scoring import Scores, grow, parent_bounds
+from tallygrid.operators.scoring import Scores, leaf_k2, leaf_likelihood, parent_bounds
 
 
 @dataclass
@@ -457,8 +457,6 @@ def bounded_treewidth(p: Problem, scores: Scores, k: int = 2, trees: int = 20) -
 
 def split_vars(p: Problem, v: int, candidates: Sequence[int], alpha: float, by: str, max_depth: int | None, max_leaves: int | None) -> dict[int, float]:
     """Variables that a tree for v over all candidates splits on, with their best gains; level by level, each a batch of counts."""
-    from tallygrid.operators.scoring import leaf_k2, leaf_likelihood
-
     k, n, c = p.cards[v], p.counter.n, p.counter
     used: dict[int, float] = {}
     leaf_count = 1
@@ -500,8 +498,6 @@ def one_shot_graph(p: Problem, alpha: float = 1.0, by: str = "mdl", max_depth: i
 
 def variable_clusters(c: Counter, alpha: float = 1.0, stop: float = 0.0, most_cells: int | None = None) -> dict:
     """Clusters joined by the largest log Bayes factor, while above ``stop``: ``clusters`` and ``merges``."""
-    from tallygrid.operators.scoring import leaf_k2
-
     most = max(int(c.n), 1000) if most_cells is None else most_cells
     known: dict[tuple[int, ...], float] = {}
 
@@ -612,8 +608,6 @@ def markov_trees(p: Problem, alpha: float = 1.0, max_depth: int | None = None) -
 
 def _paths(p: Problem, v: int, alpha: float, max_depth: int | None) -> tuple[list[tuple[tuple[int, int], ...]], set[int]]:
     """Leaf paths of a tree over all other variables."""
-    from tallygrid.operators.scoring import leaf_likelihood
-
     k, c = p.cards[v], p.counter
     leaves, used = [], set()
     level = [((), [u for u in range(p.n_vars) if u != v])]
@@ -637,6 +631,3 @@ def _paths(p: Problem, v: int, alpha: float, max_depth: int | None) -> tuple[lis
                 following += [((*path, (pick, s)), [u for u in free if u != pick]) for s in range(p.cards[pick])]
         level = following
     return leaves, used
-
-
-__all__ = ["Problem", "Scores", "add_only", "bound_problem", "bounded_treewidth", "exact_search", "grow", "hill_climb", "iterated_communities", "k2_search", "k2_variant", "markov_trees", "one_shot_graph", "rooted_vote", "tabu", "variable_clusters"]

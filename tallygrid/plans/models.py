@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 from itertools import product as combos
 
 import numpy as np
@@ -118,6 +118,13 @@ def exact_dp_3var(spark, d):
     return spark.createDataFrame([(round(net.score(c, "bic"), 3),)], "score double")
 
 
+def optimal_scores(spark, d):
+    """Totals that three searches reach with at most two parents; the SQL is the optimum over all orders of the variables."""
+    c = counter(spark, d)
+    rows = [(m, round(Network(c.cards).learn_structure(c, m, max_parents=2, alpha=0.0).score(c, "bic"), 3)) for m in ("levelwise", "stable_hc", "tabu")]
+    return spark.createDataFrame(rows, "method string, score double")
+
+
 def bic_addonly(spark, d):
     """At most one parent, natural order."""
     return learnt(spark, d, "bic", permutation=range(5), max_parents=1, alpha=0.0)
@@ -240,9 +247,10 @@ def map_by_messages(spark, d):
 
 
 def factorization_tables(spark, d):
+    """Ordered cliques of the planted tree with P(new | overlap)."""
     f = _network(spark, d).to_factorization()
-    rows = [(i, list(o), list(n), q, k, round(float(p), 8)) for i, ((o, n), t) in enumerate(zip(f.parts, f.tables, strict=True)) for q, row in enumerate(t) for k, p in enumerate(row)]
-    return spark.createDataFrame(rows, "pos int, overlap array<int>, new array<int>, ocfg int, ncfg int, p double")
+    rows = [(i, q, k, round(float(p), 8)) for i, t in enumerate(f.tables) for q, row in enumerate(t) for k, p in enumerate(row)]
+    return spark.createDataFrame(rows, "pos int, ocfg int, ncfg int, p double")
 
 
 def row_logprob(spark, d):
@@ -376,7 +384,7 @@ def learner_comparison(spark, d):
 
 LEARNERS = {f"learn_{m}": _learner(m) for m in sorted(set(METHODS) - {"binotears", "fi_k2", "rfe_k2", "k2"})}
 LEARNERS["learn_rpcd"] = _learner("rpcd")
-QUERIES = LEARNERS | {f.__name__: f for f in (learn_fi_k2, learn_rfe_k2, learn_binotears, mood_learners, variable_clusters, markov_structure, k2_structure, chow_liu_tree, exact_dp_3var, bic_addonly, markov_blanket, moral_graph, skeleton, ancestor_closure, topo_level, full_joint_enumeration, joint_probability, ve_marginal, ve_marginal_evidence, p_evidence, top_k_configs, map_config, circuit_marginals, k_best_partition, loopy_marginals, mean_field_marginals, map_by_messages, factorization_tables, row_logprob, mean_ll, decision_tree_route, dt_features, local_dg_logprob, pdg_parameters, logistic_cpd, ancestral_sample, random_sample, conditioned_sample, copula_sample, gen_statistics, truncation_selection, eda_generations, evaluation_vector, learner_comparison)}
+QUERIES = LEARNERS | {f.__name__: f for f in (learn_fi_k2, learn_rfe_k2, learn_binotears, mood_learners, variable_clusters, markov_structure, k2_structure, chow_liu_tree, exact_dp_3var, optimal_scores, bic_addonly, markov_blanket, moral_graph, skeleton, ancestor_closure, topo_level, full_joint_enumeration, joint_probability, ve_marginal, ve_marginal_evidence, p_evidence, top_k_configs, map_config, circuit_marginals, k_best_partition, loopy_marginals, mean_field_marginals, map_by_messages, factorization_tables, row_logprob, mean_ll, decision_tree_route, dt_features, local_dg_logprob, pdg_parameters, logistic_cpd, ancestral_sample, random_sample, conditioned_sample, copula_sample, gen_statistics, truncation_selection, eda_generations, evaluation_vector, learner_comparison)}
 
 _E = "e AS (SELECT * FROM (VALUES " + ", ".join(map(str, EDGES)) + ") v(src, dst))"
 _CPD = f"WITH {X.SQL}, {X.families_sql(X.NETWORK)}, cpd AS (SELECT c.var, c.pcfg, c.state, (c.n + 1.0 / c.k) / (t.total + 1.0) AS p FROM cell c JOIN cfgt t USING (fam, pcfg))"
@@ -433,12 +441,36 @@ _BIC_CTE = _BIC.rsplit(" SELECT fam, (", 1)
 _BIC_SC = f"{_BIC_CTE[0]}, sc AS (SELECT fam, ({_BIC_CTE[1]})"  # closes the CTE
 _ONE = {(f.var, f.parents): i for i, f in enumerate(X.FAMILIES)}
 _COLS = ", ".join(f"x{i}" for i in range(5))
+
+
+def _orders_sql() -> str:
+    """The best total over all orders: each variable takes its best family among those before it."""
+    orders = list(permutations(range(5)))
+    before = ", ".join(f"({o}, {v}, {sum(1 << u for u in order[:k])})" for o, order in enumerate(orders) for k, v in enumerate(order))
+    masks = ", ".join(f"({i}, {f.var}, {sum(1 << u for u in f.parents)})" for i, f in enumerate(X.FAMILIES))
+    return f"""{_BIC_SC}, o AS (SELECT * FROM (VALUES {before}) v(o, var, seen)), fm AS (SELECT * FROM (VALUES {masks}) v(fam, var, need)),
+best AS (SELECT o.o, o.var, max(sc.score) AS s FROM o JOIN fm ON fm.var = o.var AND (fm.need & o.seen) = fm.need JOIN sc ON sc.fam = fm.fam GROUP BY ALL),
+top AS (SELECT round(max(t), 3) AS score FROM (SELECT o, sum(s) AS t FROM best GROUP BY o)) SELECT unnest(['levelwise', 'stable_hc', 'tabu']) AS method, score FROM top"""
+
+
+def _parts_sql() -> str:
+    """P(new | overlap) of the cliques of the planted tree, from the joint."""
+    parts = [((), (0, 1)), ((0,), (3,)), ((1,), (2,)), ((), (4,))]
+    made = []
+    for i, (overlap, new) in enumerate(parts):
+        o, k = X.index_sql(overlap), X.index_sql(new)
+        made.append(f"SELECT {i} AS pos, {o}::INT AS ocfg, {k}::INT AS ncfg, sum(p) AS p FROM joint GROUP BY ALL")
+    return f"{_JOINT}, j AS ({' UNION ALL '.join(made)}) SELECT pos, ocfg, ncfg, round(p / sum(p) OVER (PARTITION BY pos, ocfg), 8) AS p FROM j"
+
+
 _U = lambda v: f"((((id * 7919 + {v * 15485863}) % {X.PRIME}) * ((id * 7919 + {v * 15485863}) % {X.PRIME}) + 3 * ((id * 7919 + {v * 15485863}) % {X.PRIME}) + {v}) % {X.PRIME}) / {X.PRIME}.0::DOUBLE"
 SQL = {
     "k2_structure": _k2_sql(),
     "chow_liu_tree": f"""WITH RECURSIVE {_MI_EDGES.removeprefix('WITH ')}, ed AS (SELECT i, j, row_number() OVER (ORDER BY mi DESC, i, j) AS k FROM mi WHERE 2 * t * mi > CASE WHEN i = 4 OR j = 4 THEN {_CRIT[2]!r} ELSE {_CRIT[1]!r} END),
 both_ AS (SELECT i, j, k FROM ed UNION ALL SELECT j, i, k FROM ed), reach AS (SELECT e.k AS edge, e.i AS at FROM ed e UNION SELECT r.edge, b.j FROM reach r JOIN both_ b ON b.i = r.at AND b.k < r.edge)
 SELECT i AS u, j AS v FROM ed WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.edge = ed.k AND r.at = ed.j)""",
+    "optimal_scores": _orders_sql(),
+    "factorization_tables": _parts_sql(),
     "learn_chow_liu": f"{_TREE}, tb AS (SELECT u, v FROM tree UNION ALL SELECT v, u FROM tree), far AS (SELECT u AS a, u AS b FROM tb UNION SELECT f.a, t.v FROM far f JOIN tb t ON t.u = f.b), root AS (SELECT a, min(b) AS r FROM far GROUP BY a), walk AS (SELECT DISTINCT r AS here, r AS came, 0 AS depth FROM root UNION SELECT t.v, w.here, w.depth + 1 FROM walk w JOIN tb t ON t.u = w.here AND t.v <> w.came WHERE w.depth < 5) SELECT came AS src, here AS dst FROM walk WHERE depth > 0",
     "learn_rcd": _rcd_sql(),
     "learn_rpcd": _rcd_sql(),

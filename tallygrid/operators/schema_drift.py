@@ -304,11 +304,12 @@ def batch_changes(schemas: DataFrame) -> DataFrame:
     return pairs.select("batch_id", "stream", "earlier", "fields").mapInPandas(scripts, "batch_id bigint, stream string, field string, change_kind string, old string, new string")
 
 
-def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target: dict[str, str]) -> DataFrame:
+def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target: dict[str, str], raw: str | None = None) -> DataFrame:
     """All lines, each once, in one schema: ``batch_id, line_no``, the target fields with their types, and ``others``.
 
     The script of each batch becomes a map from field to position that the line's cells are picked by. Cells that are
-    missing or not of the type are null; fields outside the target are kept in the map ``others``.
+    missing or not of the type are null; fields outside the target are kept in the map ``others``. ``raw`` names a map
+    from target field to the text of a cell that is there but not of the type, so that no cell is lost.
     """
     head = batches.select("batch_id", "delimiter", "header").dropDuplicates(["batch_id"])
     known = names.select(F.col("known_name").alias("name"), "field").dropDuplicates(["name"])
@@ -323,4 +324,9 @@ def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target
         return F.when(_width(cell) > 0, cell)
 
     rest = F.transform_values(F.map_filter("plan", lambda k, _: ~k.isin(list(target))), lambda _, at: pick(at))
-    return cells.select("batch_id", "line_no", *[pick(F.element_at(F.col("plan"), F.lit(k))).try_cast(t).alias(k) for k, t in target.items()], rest.alias("others"))
+    texts = {k: pick(F.element_at(F.col("plan"), F.lit(k))) for k in target}
+    out = [texts[k].try_cast(t).alias(k) for k, t in target.items()]
+    if raw is not None:
+        uncast = F.create_map(*[x for k, t in target.items() for x in (F.lit(k), F.when(texts[k].try_cast(t).isNull(), texts[k]))])
+        out.append(F.map_filter(uncast, lambda _, v: v.isNotNull()).alias(raw))
+    return cells.select("batch_id", "line_no", *out, rest.alias("others"))

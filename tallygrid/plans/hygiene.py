@@ -35,8 +35,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    rows = schema_drift.unified_lines(*(table(spark, d, t) for t in ("tidy_batches", "tidy_lines", "field_names")), TARGET)
-    return rows.withColumn("others", F.size("others"))
+    """All cells: typed, in ``raw`` where they aren't of the type, and in ``other_cells``, whose number is ``others``."""
+    rows = schema_drift.unified_lines(*(table(spark, d, t) for t in ("tidy_batches", "tidy_lines", "field_names")), TARGET, raw="raw")
+    return rows.withColumnRenamed("others", "other_cells").withColumn("others", F.size("other_cells"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -124,11 +124,12 @@ def _normal_score(p):
     return pd.Series(norm_ppf(p.to_numpy()))
 
 
-def fit_copula_frame(df: DataFrame, columns: list[str], bins: int = 200) -> dict:
+def fit_copula_frame(df: DataFrame, columns: list[str]) -> dict:
     """A Gaussian copula of all rows: correlations of normal scores, equal values sharing their mean rank.
 
-    Ranks come from counts by value over range partitions. The model has a fixed size: the correlations, and for each
-    column at most ``bins`` quantiles. Rows with a null or NaN are left out, since they have no place in the joint law.
+    Ranks come from counts by value over range partitions. The model is the correlations, the number of ``rows``, and
+    for each column a DataFrame ``ranks`` of all its values ``v``, their counts ``n`` and ranks up to them, ``up``. Rows
+    with a null or NaN are left out, since they have no place in the joint law.
     """
     from tallygrid.operators.ordered import running
 
@@ -142,8 +143,7 @@ def fit_copula_frame(df: DataFrame, columns: list[str], bins: int = 200) -> dict
     for j in range(len(columns)):
         counts = running(rows.groupBy(f"v{j}").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0)), ["_all"], f"v{j}", "n", "up")
         rows = rows.join(counts.select(f"v{j}", _normal_score((F.col("up") - (F.col("n") - 1) / 2) / (n + 1)).alias(f"z{j}")), f"v{j}")
-        last = counts.groupBy(F.floor((F.col("up") - 1) * bins / n).alias("bin")).agg(F.max(f"v{j}").alias("v"), F.max("up").alias("up")).orderBy("bin").collect()  # at most ``bins`` rows
-        tables.append((np.array([r["v"] for r in last]), np.array([r["up"] for r in last]) / n))
+        tables.append(counts.select(F.col(f"v{j}").alias("v"), "n", "up"))
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = rows.agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.avg(f"z{i}").alias(f"m{i}") for i in range(d)]).first()
@@ -153,7 +153,19 @@ def fit_copula_frame(df: DataFrame, columns: list[str], bins: int = 200) -> dict
     s = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = cov / np.outer(s, s)
     np.fill_diagonal(corr, 1.0)
-    return {"corr": corr, "quantiles": tables}
+    return {"corr": corr, "rows": n, "ranks": tables}
+
+
+def _by_rank(df: DataFrame, share: str, ranks: DataFrame, rows: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the value at ``share`` of all ``rows`` values in order.
+
+    Ranks are cut into spans, at most about a million or of 64, so that the join has an equality to shuffle by.
+    """
+    span = max(64, rows >> 20)
+    low = F.col("up") - F.col("n")
+    spans = ranks.select(F.col("v").alias(out), low.alias("_low"), F.col("up").alias("_up"), F.explode(F.sequence(F.floor(low / span), F.floor((F.col("up") - 1) / span))).alias("_span"))
+    placed = df.withColumn("_at", F.least(F.floor(F.col(share) * rows), F.lit(rows - 1))).withColumn("_of", F.floor(F.col("_at") / span))
+    return placed.join(spans, (F.col("_of") == F.col("_span")) & (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_up"))).drop("_at", "_of", "_low", "_up", "_span")
 
 
 def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0) -> DataFrame:
@@ -173,11 +185,13 @@ def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0) -> Da
 
     for j in range(d):
         latent = sum((F.lit(float(root[j, i])) * F.col(f"_z{i}") for i in range(j + 1)), F.lit(0.0))
-        if "quantiles" in model:
-            values, shares = model["quantiles"][j]
-        else:
-            values, counts = np.unique(model["sorted"][:, j], return_counts=True)
-            shares = np.cumsum(counts) / counts.sum()
+        out = out.withColumn(f"_u{j}", cdf(latent))
+    for j in range(d):
+        if "ranks" in model:
+            out = _by_rank(out, f"_u{j}", model["ranks"][j], model["rows"], f"x{j}")
+            continue
+        values, counts = np.unique(model["sorted"][:, j], return_counts=True)
+        shares = np.cumsum(counts) / counts.sum()
         cuts = F.array(*[F.lit(float(c)) for c in shares[:-1]]) if len(values) > 1 else F.array().cast("array<double>")
-        out = out.withColumn(f"_u{j}", cdf(latent)).withColumn(f"x{j}", F.get(F.array(*[F.lit(float(v)) for v in values]), F.size(F.filter(cuts, lambda c: c <= F.col(f"_u{j}")))))
+        out = out.withColumn(f"x{j}", F.get(F.array(*[F.lit(float(v)) for v in values]), F.size(F.filter(cuts, lambda c: c <= F.col(f"_u{j}")))))
     return out.select("id", *[f"x{j}" for j in range(d)])

@@ -1,5 +1,8 @@
 """Queries give whole results: no cell, value or record is left out."""
 
+import numpy as np
+
+from tallygrid.operators import sampling
 from tallygrid.plans import hygiene
 
 
@@ -16,3 +19,13 @@ def test_unified_table_keeps_every_cell(spark, tmp_path):
         (1, 2, 4.0, None, None, {}, {"z": None}, 1),
         (2, 1, None, None, None, {"f1": "bad", "edges": "0x48"}, {"q": "w"}, 1),
     ]
+
+
+def test_copula_draws_from_the_whole_column(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=500), np.where(rng.random(500) < 0.5, 0.0, rng.normal(size=500))])
+    model = sampling.fit_copula_frame(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"])
+    got = sampling.sample_copula(spark, model, 4000, seed=2).orderBy("id").toPandas()
+    assert len(got) == 4000 and got.x0.nunique() > 450 and got.x0.min() < np.sort(x[:, 0])[3]
+    same = sampling.sample_copula(spark, {"corr": model["corr"], "sorted": np.sort(x, axis=0)}, 4000, seed=2).orderBy("id").toPandas()
+    assert got.equals(same)

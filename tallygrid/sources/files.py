@@ -78,18 +78,21 @@ def size_group_by_gaps(n):
 
 
 def tidy_results(files: DataFrame) -> DataFrame:
-    """One tidy row for each result file (``path, content``) with a run in its path and eleven numbers in it.
+    """One tidy row for each line of eleven numbers in the result files (``path, content``) with a run in their path.
 
+    ``line_no`` counts the file's lines from 1. A file may hold several results, which are all kept, equal ones too.
     Names come from the path, ``n, edges, n_selected`` from ``key=value`` words of the comment lines; what isn't a
     number is null. ``train`` is the split trained on, ``test1`` and ``test2`` the others, ``test`` their mean.
     """
     part = lambda i: F.regexp_extract("path", RUN_PARTS, i)
     lines = F.split("content", r"\r?\n")
     notes = F.str_to_map(F.array_join(F.regexp_extract_all(F.array_join(F.filter(lines, lambda x: x.startswith("#")), " "), F.lit(r"([^\s#=]+=[^\s=]+)"), 1), " "), F.lit(" "), F.lit("="))
-    numbers = F.filter(F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")), lambda v: F.size(v) == 11)
-    rows = files.select(part(1).alias("problem"), part(2).cast("string").alias("tr"), part(3).alias("algorithm"), part(4).alias("temp_str"), part(5).alias("seed"), notes.alias("m"), F.get(numbers, F.lit(0)).alias("v")).filter("problem <> '' AND v IS NOT NULL")
+    words = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), F.when(~x.startswith("#"), F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")).alias("v")))
+    numbers = F.filter(words, lambda w: F.size(w["v"]) == 11)
+    rows = files.select(part(1).alias("problem"), part(2).cast("string").alias("tr"), part(3).alias("algorithm"), part(4).alias("temp_str"), part(5).alias("seed"), notes.alias("m"), numbers.alias("numbers")).filter("problem <> ''")
+    rows = rows.withColumn("_each", F.explode("numbers")).withColumns({"line_no": F.col("_each.line_no"), "v": F.col("_each.v")})
     note = lambda k, t: F.element_at(F.col("m"), k).try_cast(t)
-    rows = rows.select("problem", F.regexp_replace("problem", r"_[0-9]+$", "").alias("family"), F.coalesce(note("n", "int"), F.regexp_extract("problem", r"_([0-9]+)$", 1).try_cast("int"), F.lit(-1)).alias("n"), "algorithm", F.col("temp_str").try_cast("double").alias("temperature"), "temp_str", F.col("tr").try_cast("int").alias("train_set"), F.col("seed").try_cast("int").alias("seed"), note("edges", "double").alias("edges"), note("n_selected", "double").alias("n_selected"), *[F.col("v")[i].try_cast("double").alias(f) for i, f in enumerate(FIELDS)])
+    rows = rows.select("problem", "line_no", F.regexp_replace("problem", r"_[0-9]+$", "").alias("family"), F.coalesce(note("n", "int"), F.regexp_extract("problem", r"_([0-9]+)$", 1).try_cast("int"), F.lit(-1)).alias("n"), "algorithm", F.col("temp_str").try_cast("double").alias("temperature"), "temp_str", F.col("tr").try_cast("int").alias("train_set"), F.col("seed").try_cast("int").alias("seed"), note("edges", "double").alias("edges"), note("n_selected", "double").alias("n_selected"), *[F.col("v")[i].try_cast("double").alias(f) for i, f in enumerate(FIELDS)])
     out = rows.withColumn("group", size_group(F.col("n")))
     for m in ("sp", "ll", "kl"):
         s = [F.col(f"{m}_s{i}") for i in range(3)]

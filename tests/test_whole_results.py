@@ -4,6 +4,7 @@ import numpy as np
 
 from tallygrid.operators import sampling
 from tallygrid.plans import hygiene
+from tallygrid.sources import files
 
 
 def test_unified_table_keeps_every_cell(spark, tmp_path):
@@ -29,3 +30,10 @@ def test_copula_draws_from_the_whole_column(spark):
     assert len(got) == 4000 and got.x0.nunique() > 450 and got.x0.min() < np.sort(x[:, 0])[3]
     same = sampling.sample_copula(spark, {"corr": model["corr"], "sorted": np.sort(x, axis=0)}, 4000, seed=2).orderBy("id").toPandas()
     assert got.equals(same)
+
+
+def test_tidy_rows_of_all_records_of_a_file(spark):
+    one, two = "0.5 1 -1 2 0.1 -3 4 0.3 -5 6 0.5", "0.6 1 -1 2 0.2 -3 4 0.4 -5 6 0.8"
+    rows = [("eval_P_60_tr1_k2_T0.5_s7.dat", f"# edges=4\n{one}\n1 2\n\n{two}\r\n{two}"), ("eval_P_60_tr0_k2_T0.5_s7.dat", "# none\n"), ("log", one)]
+    got = sorted((r.line_no, r.edges, r.f1, r.train_sp, round(r.test_sp, 9)) for r in files.tidy_results(spark.createDataFrame(rows, "path string, content string")).collect())
+    assert got == [(2, 4.0, 0.5, 0.3, 0.3), (5, 4.0, 0.6, 0.4, 0.5), (6, 4.0, 0.6, 0.4, 0.5)]

@@ -37,3 +37,13 @@ def test_tidy_rows_of_all_records_of_a_file(spark):
     rows = [("eval_P_60_tr1_k2_T0.5_s7.dat", f"# edges=4\n{one}\n1 2\n\n{two}\r\n{two}"), ("eval_P_60_tr0_k2_T0.5_s7.dat", "# none\n"), ("log", one)]
     got = sorted((r.line_no, r.edges, r.f1, r.train_sp, round(r.test_sp, 9)) for r in files.tidy_results(spark.createDataFrame(rows, "path string, content string")).collect())
     assert got == [(2, 4.0, 0.5, 0.3, 0.3), (5, 4.0, 0.6, 0.4, 0.5), (6, 4.0, 0.6, 0.4, 0.5)]
+
+
+def test_changes_around_a_null_header(spark, tmp_path):
+    for name, rows, schema in (
+        ("tidy_batches", [(1, "t", 1, ",", "f1"), (2, "t", 2, ",", None), (3, "t", 3, ",", "g"), (4, "u", 1, ",", None), (5, "u", 2, ",", "h")], "batch_id bigint, stream string, exported_at int, delimiter string, header string"),
+        ("tidy_lines", [(1, 1, "0.5")], "batch_id bigint, line_no int, line string"),
+        ("field_names", [("f1", "f1")], "known_name string, field string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert {tuple(r) for r in hygiene.p2_found(spark, str(tmp_path)).collect()} == {(2, "f1", "removed"), (3, "g", "added"), (5, "h", "added")}

@@ -307,7 +307,7 @@ def batch_changes(schemas: DataFrame) -> DataFrame:
 def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target: dict[str, str], raw: str | None = None) -> DataFrame:
     """All lines, each once, in one schema: ``batch_id, line_no``, the target fields with their types, and ``others``.
 
-    The script of each batch becomes a map from field to position that the line's cells are picked by. Cells that are
+    Each batch has a map from field identity to position, found in its header and not by the edit script, that the line's cells are picked by. Cells that are
     missing or not of the type are null; fields outside the target are kept in the map ``others``. ``raw`` names a map
     from target field to the text of a cell that is there but not of the type, so that no cell is lost.
     """

@@ -1,7 +1,7 @@
 """Lines that fail to parse, beside the rows that load.
 
-Records are assembled with regard to quotes, parsed by Python's csv reader in strict mode, and structural errors are
-caught before any field is converted. Lines without a quote go through one reader a batch; the others get a reader
+Each line is a record by itself (``assemble`` joins lines of an open quote, for callers that want it), parsed by Python's
+csv reader in strict mode, and structural errors are caught before any field is converted. Lines without a quote go through one reader a batch; the others get a reader
 each, so that an open quote can't swallow the next line.
 
 The first reason that applies is given: ``quoting``, ``column_count``, ``invalid_value``. Edge cases, as tested: a null

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.cluster import checkpoint_dir, cut
 from tallygrid.operators import reject_rows, run_records, schema_drift, small_files
 from tallygrid.plans.tables import table
 
@@ -29,6 +32,18 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("run", *run_records.FIELDS).agg(F.min(F.struct("file_id", "line_no")).alias("at")).select(F.col("at.file_id").alias("file_id"), F.col("at.line_no").alias("line_no"), "run", *run_records.FIELDS)
 
 
+def p1_written(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of eleven numbers in the bundles as files, with their number: written, checked and read again."""
+    bundles = cut(small_files.pack_files(table(spark, d, "result_files")))
+    out = f"{checkpoint_dir(spark)}/p1_written_{uuid.uuid4().hex}"
+    small_files.write_bundles(bundles, out)
+    if wrong := small_files.check_written(spark, bundles, out).take(3):
+        raise ValueError(f"files written differ from their bundles: {wrong}")
+    number = r"(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[nN][aA][nN])"
+    lines = spark.read.text(out, lineSep="\n").withColumnRenamed("value", "line")
+    return lines.filter(F.col("line").rlike(rf"\A\s*{number}(?:\s+{number}){{10}}\s*\z")).groupBy("line").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     schemas = schema_drift.batch_schemas(*(table(spark, d, t) for t in ("tidy_batches", "tidy_lines", "field_names")))
     # a null header has no fields, so its batch is compared like others
@@ -53,14 +68,16 @@ def p4_mood(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``seed`` is null where its digits exceed 64 bits; ``seed_digits`` always has them."""
     parsed = reject_rows.parse_lines(table(spark, d, "raw_lines"), keep=["line_id"])
-    return reject_rows.loaded(parsed, "runs", ["line_id"])
+    rows = reject_rows.loaded(parsed, "runs", ["line_id"]).withColumnRenamed("seed", "seed_digits")
+    return rows.withColumn("seed", F.col("seed_digits").try_cast("bigint"))
 
 
 _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _RECORDS = rf"""
 files AS (SELECT DISTINCT file_id, path, content FROM result_files),
-named AS (SELECT file_id, content, regexp_extract(path, 'eval_[^/]+_tr[0-9]+_[^/]+_T[0-9.]+_s[0-9]+\.dat') AS run FROM files),
+named AS (SELECT file_id, content, regexp_extract(path, 'eval_.+_tr[0-9]+_.+_T[0-9.]+_s[0-9]+\.dat') AS run FROM files),
 split AS (SELECT file_id, run, string_split(content, chr(10)) AS ls FROM named WHERE run <> ''),
 lines AS (SELECT file_id, run, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM split),
 good AS (SELECT file_id, run, line_no, list_transform(regexp_extract_all(line, '[^\s]+'), lambda x: CASE WHEN lower(x) = 'nan' THEN 'NaN'::DOUBLE ELSE x::DOUBLE + 0.0 END) AS v
@@ -85,11 +102,12 @@ judged AS (SELECT line_id, layout, f, CASE WHEN NOT ok THEN 'quoting' WHEN len(f
   WHEN layout = 'runs' AND (f[1] = '' OR f[2] = '' OR NOT f[3] SIMILAR TO '[0-9]+' OR NOT regexp_full_match(f[4], '{_NUM}') OR NOT coalesce(try_cast(f[4] AS DOUBLE) BETWEEN 0 AND 1, false)
     OR NOT regexp_full_match(f[5], '{_NUM}') OR NOT coalesce(try_cast(f[5] AS DOUBLE) >= 0 AND isfinite(try_cast(f[5] AS DOUBLE)), false)) THEN 'invalid_value' END AS reason FROM cut)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p1_records, p2_found, p2_unified, p4_found, p4_mood, p4_runs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p1_records, p1_written, p2_found, p2_unified, p4_found, p4_mood, p4_runs)}
 SQL = {
     "p1_found": f"WITH {_RECORDS} SELECT file_id, line_no::INT AS line_no FROM (SELECT file_id, line_no, row_number() OVER (PARTITION BY run, v ORDER BY file_id, line_no) AS k FROM good) WHERE k > 1",
     "p1_bundles": "SELECT file_id, path, strlen(content)::BIGINT AS n_bytes, md5(content) AS md5, true AS intact FROM (SELECT DISTINCT file_id, path, content FROM result_files)",
     "p1_records": f"WITH {_RECORDS} SELECT file_id, line_no::INT AS line_no, run, " + ", ".join(f'v[{i}] AS "{f}"' for i, f in enumerate(run_records.FIELDS, 1)) + " FROM (SELECT *, row_number() OVER (PARTITION BY run, v ORDER BY file_id, line_no) AS k FROM good) WHERE k = 1",
+    "p1_written": rf"WITH files AS (SELECT DISTINCT file_id, path, content FROM result_files), l AS (SELECT unnest(string_split(content, chr(10))) AS line FROM files) SELECT line, count(*) AS n FROM l WHERE regexp_full_match(line, '\s*({_NUM}|[nN][aA][nN])(\s+({_NUM}|[nN][aA][nN])){{10}}\s*') GROUP BY line",
     "p2_found": f"""WITH {_FIELDS}, {_CELLS},
 widths AS (SELECT batch_id, pos, max(CASE WHEN regexp_full_match(cell, '[+-]?[0-9]+') THEN 1 WHEN regexp_full_match(cell, '{_NUM}') THEN 2 ELSE 3 END) AS w FROM cells WHERE lower(cell) NOT IN {_MISSING} GROUP BY ALL),
 fields AS (SELECT k.batch_id, k.field, k.name, w.w FROM known k LEFT JOIN widths w USING (batch_id, pos)),
@@ -106,5 +124,5 @@ try_cast(max(cell) FILTER (field = 'seed' AND regexp_full_match(cell, '[+-]?[0-9
 (count(*) FILTER (field NOT IN ({", ".join(f"'{k}'" for k in TARGET)})))::INT AS others FROM clean GROUP BY batch_id, line_no""",
     "p4_found": f"WITH {_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_mood": f"WITH {_LINES} SELECT line_id, {', '.join(f'f[{i + 1}]::BIGINT AS c{i}' for i in range(7))} FROM judged WHERE reason IS NULL AND layout = 'mood'",
-    "p4_runs": f"WITH {_LINES} SELECT line_id, f[1] AS problem, f[2] AS algorithm, f[3]::BIGINT AS seed, f[4]::DOUBLE AS f1, f[5]::DOUBLE AS \"time\", f[6] AS note FROM judged WHERE reason IS NULL AND layout = 'runs'",
+    "p4_runs": f"WITH {_LINES} SELECT line_id, f[1] AS problem, f[2] AS algorithm, try_cast(f[3] AS BIGINT) AS seed, CASE WHEN ltrim(f[3], '0') = '' THEN '0' ELSE ltrim(f[3], '0') END AS seed_digits, f[4]::DOUBLE AS f1, f[5]::DOUBLE AS \"time\", f[6] AS note FROM judged WHERE reason IS NULL AND layout = 'runs'",
 }

@@ -71,5 +71,21 @@ def test_table(spark):
     parsed = R.parse_lines(df, keep=["line_id"]).cache()
     assert sorted((r.line_id, r.reason) for r in R.rejected(parsed).collect()) == [(3, "unknown_layout"), (4, "column_count"), (5, "column_count"), (6, "unknown_layout")]
     assert [tuple(r) for r in R.loaded(parsed, "mood", ["line_id"]).collect()] == [(1, 0, 1, 0, 0, 0, 0, 1)] * 2
-    assert [tuple(r) for r in R.loaded(parsed, "runs", ["line_id"]).collect()] == [(2, "p", "a", 1, 0.5, 2.0, "n")]
+    assert [tuple(r) for r in R.loaded(parsed, "runs", ["line_id"]).collect()] == [(2, "p", "a", "1", 0.5, 2.0, "n")]
     assert R.rejected(R.parse_lines(df.limit(0), keep=["line_id"])).count() == 0
+
+
+def test_seeds_of_any_length_stay_what_they_are(spark, tmp_path):
+    seeds = ["0", "007", str(10**18), "1234567890123456789", str(2**63 - 1), str(2**63), "98765432109876543210", "9" * 60]
+    lines = [(i, "runs", f"P,k2,{s},0.5,1,n") for i, s in enumerate(seeds)]
+    spark.createDataFrame(lines, "line_id bigint, layout string, line string").write.parquet(str(tmp_path / "raw_lines.parquet"))
+    from tallygrid.plans import hygiene
+
+    got = hygiene.p4_runs(spark, str(tmp_path)).orderBy("line_id").collect()
+    assert [r.seed_digits for r in got] == [s.lstrip("0") or "0" for s in seeds]
+    assert [r.seed for r in got] == [int(s) if int(s) < 2**63 else None for s in seeds]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW raw_lines AS SELECT * FROM '{tmp_path}/raw_lines.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT seed, seed_digits FROM ({hygiene.SQL['p4_runs']})").fetchall(), key=str) == sorted([(r.seed, r.seed_digits) for r in got], key=str)

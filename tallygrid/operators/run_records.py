@@ -11,19 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The part of a path that names a run, and a line of eleven numbers.
-RUN = re.compile(r"eval_[^/]+_tr[0-9]+_[^/]+_T[0-9.]+_s[0-9]+\.dat")
+from tallygrid.operators.small_files import whole
+
+#: The part of a path that names a run, and a line of eleven numbers. The names of problem and algorithm may be anything,
+#: so the run begins at the path's first ``eval_``: files of one name in different folders ``..eval../x/`` are different runs.
+RUN = re.compile(r"eval_.+_tr[0-9]+_.+_T[0-9.]+_s[0-9]+\.dat")
 NUMBER = rb"(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[nN][aA][nN])"
 RECORD = re.compile(rb"\s*" + NUMBER + rb"(?:\s+" + NUMBER + rb"){10}\s*")
 FIELDS = ("f1", "time", "ll_s0", "kl_s0", "sp_s0", "ll_s1", "kl_s1", "sp_s1", "ll_s2", "kl_s2", "sp_s2")
 
 
 def _parsed(b: dict) -> Iterator[tuple[int, int, str, list[float]]]:
-    for m in b["members"]:
+    for m, body in whole(b):
         run = RUN.search(m["path"] or "")
         if run is None:
             continue
-        body = b["payload"][m["start"] : m["start"] + m["length"]]
         for no, line in enumerate(body.split(b"\n"), 1):
             if line and not line.startswith(b"#") and RECORD.fullmatch(line):
                 yield m["file_id"], no, run[0], [float(x) + 0.0 for x in line.split()]
@@ -32,7 +34,8 @@ def _parsed(b: dict) -> Iterator[tuple[int, int, str, list[float]]]:
 def records(bundles: DataFrame) -> DataFrame:
     """``file_id, line_no, run`` and the eleven numbers of every record in the bundles.
 
-    Files without an id give records with a null ``file_id``; files whose path names no run give none.
+    Files without an id give records with a null ``file_id``; files whose path names no run give none. Lengths and
+    checksums are compared with the bundle's index; an error is raised where they differ.
     """
     schema = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("run", pa.string()), *[(f, pa.float64()) for f in FIELDS]])
 
@@ -43,7 +46,7 @@ def records(bundles: DataFrame) -> DataFrame:
                     fid, no, run, numbers = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((fid, no, run, *zip(*numbers, strict=True)), schema.types, strict=True)], schema=schema)
 
-    return bundles.select("payload", "members").mapInArrow(parse, ", ".join(["file_id bigint", "line_no int", "run string", *[f"`{f}` double" for f in FIELDS]]))
+    return bundles.select("bundle_id", "payload", "n_bytes", "crc", "members").mapInArrow(parse, ", ".join(["file_id bigint", "line_no int", "run string", *[f"`{f}` double" for f in FIELDS]]))
 
 
 def record_keys(bundles: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def record_keys(bundles: DataFrame) -> DataFrame:
                     fid, no, key = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(fid, pa.int64()), pa.array(no, pa.int32()), pa.array(key, pa.binary())], names=["file_id", "line_no", "key"])
 
-    return bundles.select("payload", "members").mapInArrow(parse, "file_id bigint, line_no int, key binary")
+    return bundles.select("bundle_id", "payload", "n_bytes", "crc", "members").mapInArrow(parse, "file_id bigint, line_no int, key binary")
 
 
 def surplus(keyed: DataFrame, key: str, order: list[str], salts: int = 64) -> DataFrame:

@@ -17,9 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.cluster import cut
+
 #: Magic numbers of the zstandard format (RFC 8878): a frame, and a skippable frame.
 FRAME, SKIPPABLE = b"\x28\xb5\x2f\xfd", b"\x50\x2a\x4d\x18"
 BUNDLES = "bundle_id bigint, kind string, header binary, payload binary, n_bytes bigint, crc bigint, members array<struct<file_id:bigint,path:string,start:bigint,length:bigint,crc:bigint>>"
@@ -63,50 +65,85 @@ def _cut_header(body: bytes, lines: int) -> tuple[bytes, bytes]:
     return body[:at], body[at:]
 
 
+#: Words of the filter of repeated ids, 64 bits each: 2 MB and a few bits an id for about a million repeated ids; with more,
+#: more is shuffled and the result is the same.
+WORDS = 1 << 18
+
+
+def _place(file_id: Column) -> tuple[Column, Column]:
+    """The word of an id in the filter, and its four bits there."""
+    h = F.xxhash64(file_id)
+    bits = [F.lit(1).cast("bigint") for _ in range(4)]
+    mask = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int")) for one, at in zip(bits, (24, 34, 44, 54), strict=True)]
+    return F.pmod(h, F.lit(WORDS)).cast("int"), mask[0].bitwiseOR(mask[1]).bitwiseOR(mask[2]).bitwiseOR(mask[3])
+
+
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are listed once for certain, and the others, made distinct."""
+    word, mask = _place(F.col("file_id"))
+    twice = rows.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("c")).filter("c > 1")
+    # at most WORDS rows of two numbers, whatever the data are
+    held = cut(twice.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")))
+    marked = rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(held), "_word", "left")
+    again = F.col("file_id").isNull() | F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    names = ["file_id", "path", "content"]
+    return marked.filter(~again).select(*names), marked.filter(again).select(*names).dropDuplicates(names)
+
+
 def pack_files(files: DataFrame, file_id: str = "file_id", path: str = "path", content: str = "content", target_bytes: int = 8 << 20, header_lines: int = 0) -> DataFrame:
-    """Bundles of about ``target_bytes`` each.
+    """Bundles of about ``target_bytes`` each; the last one of a task may be smaller.
 
     With ``header_lines`` the first lines of each newline-delimited file are its header: a bundle has one header, at its
     start, and takes only files with the same one. Files that begin with the zstandard magic number are joined as
     frames, apart from the others.
     """
     rows = files.select(F.col(f"`{file_id}`").cast("bigint").alias("file_id"), F.col(f"`{path}`").cast("string").alias("path"), F.coalesce(F.col(f"`{content}`").cast("binary"), F.lit(b"")).alias("content"))
-    keyed = rows.withColumn("_key", F.coalesce(F.xxhash64("file_id"), F.xxhash64("path", "content")))
-    # xxhash64 of a null is its seed and never null, so the null ids are told apart here
-    keyed = rows.withColumn("_key", F.when(F.col("file_id").isNull(), F.xxhash64("path", "content")).otherwise(F.xxhash64("file_id")))
-    together = keyed.repartition("_key").sortWithinPartitions("_key", "file_id", "path").drop("_key")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, made, last, same = TaskContext.get().partitionId(), 0, object(), set()
-        filling: dict[tuple[str, bytes], _Open] = {}
-        for batch in batches:
-            for fid, where, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (fid, where) != last:
-                    last, same = (fid, where), set()
-                if body in same:
-                    continue
-                same.add(body)
-                kind, header = ("zstd" if body[:4] == FRAME else "lines"), b""
-                if header_lines and kind == "lines":
-                    header, body = _cut_header(body, header_lines)
-                now = filling.get((kind, header))
-                if now is not None and now.members and now.size + len(body) > target_bytes:
-                    yield now.row(part << 33 | made)
-                    made, now = made + 1, None
-                if now is None:
-                    now = filling[kind, header] = _Open(kind, header)
-                now.add(fid, where, body)
-                if len(filling) > 64:  # many different headers: close the largest
-                    key = max(filling, key=lambda k: filling[k].size)
-                    yield filling.pop(key).row(part << 33 | made)
-                    made += 1
-        for now in filling.values():
-            yield now.row(part << 33 | made)
-            made += 1
-
-    return together.mapInArrow(pack, BUNDLES)
+    once, others = _told_apart(rows)
+
+    def packer(side: int):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part, made = TaskContext.get().partitionId(), 0
+            filling: dict[tuple[str, bytes], _Open] = {}
+
+            def close(bundle: _Open) -> pa.RecordBatch:
+                nonlocal made
+                made += 1
+                return bundle.row(part << 34 | made << 1 | side)
+
+            for batch in batches:
+                for fid, where, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    kind, header = ("zstd" if body[:4] == FRAME else "lines"), b""
+                    if header_lines and kind == "lines":
+                        header, body = _cut_header(body, header_lines)
+                    now = filling.get((kind, header))
+                    if now is not None and now.members and now.size + len(body) > target_bytes:
+                        yield close(now)
+                        now = None
+                    if now is None:
+                        now = filling[kind, header] = _Open(kind, header)
+                    now.add(fid, where, body)
+                    if len(filling) > 64:  # many different headers: close the largest
+                        yield close(filling.pop(max(filling, key=lambda k: filling[k].size)))
+            for now in filling.values():
+                yield close(now)
+
+        return pack
+
+    return once.mapInArrow(packer(0), BUNDLES).unionByName(others.mapInArrow(packer(1), BUNDLES))
+
+
+def whole(bundle: dict) -> Iterator[tuple[dict, bytes]]:
+    """The members of a bundle with their bytes; an error where a length or checksum differs from the index."""
+    payload = bundle["payload"]
+    if len(payload) != bundle["n_bytes"] or zlib.crc32(payload) != bundle["crc"]:
+        raise ValueError(f"bundle {bundle['bundle_id']} is damaged")
+    for m in bundle["members"]:
+        body = payload[m["start"] : m["start"] + m["length"]]
+        if len(body) != m["length"] or zlib.crc32(body) != m["crc"]:
+            raise ValueError(f"file {m['file_id']} in bundle {bundle['bundle_id']} is damaged")
+        yield m, body
 
 
 def members(bundles: DataFrame) -> DataFrame:
@@ -118,12 +155,12 @@ def members(bundles: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                whole = len(b["payload"]) == b["n_bytes"] and zlib.crc32(b["payload"]) == b["crc"]
+                intact = len(b["payload"]) == b["n_bytes"] and zlib.crc32(b["payload"]) == b["crc"]
                 out = [(m, b["payload"][m["start"] : m["start"] + m["length"]]) for m in b["members"]]
                 yield pa.RecordBatch.from_pydict({
                     "bundle_id": pa.array([b["bundle_id"]] * len(out), pa.int64()), "file_id": pa.array([m["file_id"] for m, _ in out], pa.int64()),
                     "path": pa.array([m["path"] for m, _ in out], pa.string()), "content": pa.array([x for _, x in out], pa.binary()),
-                    "intact": pa.array([whole and len(x) == m["length"] and zlib.crc32(x) == m["crc"] for m, x in out], pa.bool_()),
+                    "intact": pa.array([intact and len(x) == m["length"] and zlib.crc32(x) == m["crc"] for m, x in out], pa.bool_()),
                 })
 
     return bundles.select("bundle_id", "kind", "header", "payload", "n_bytes", "crc", "members").mapInArrow(unpack, "bundle_id bigint, file_id bigint, path string, content binary, intact boolean")

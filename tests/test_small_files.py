@@ -86,3 +86,28 @@ def test_surplus_of_a_hot_key_equals_brute_force(spark):
     for k, o, n in rows:
         first[k] = min(first.get(k, (o, n)), (o, n))
     assert got == {n for k, o, n in rows if (o, n) != first[k]}
+
+
+def test_repeated_listings_are_packed_once_at_any_share(spark):
+    rows = [(7, "hot", b"7\n")] * 400 + [(i, f"p{i}", b"%d\n" % i) for i in range(200)] * 2 + [(None, "n", b"1\n")] * 50
+    got = [(r.file_id, r.path, bytes(r.content)) for r in small_files.members(small_files.pack_files(spark.createDataFrame(rows, SCHEMA).repartition(6))).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(rows)
+
+
+def test_contents_are_not_shuffled(spark, tmp_path):
+    spark.createDataFrame([(i, f"p{i}", b"x" * 50) for i in range(100)], SCHEMA).write.parquet(str(tmp_path / "f"))
+    once, _ = small_files._told_apart(spark.read.parquet(str(tmp_path / "f")))
+    assert "hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damaged_bundles_are_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    bundles = pack(spark, [(1, RUN, NUMBERS.encode()), (2, RUN, NUMBERS.encode())])
+    bad = bundles.withColumn("payload", F.overlay("payload", F.lit(b"9"), F.lit(1)))
+    with pytest.raises(Exception, match="damaged"):
+        run_records.record_keys(bad).collect()
+
+
+def test_the_run_begins_at_the_first_eval_of_the_path():
+    assert run_records.RUN.search("eda_eval_cluster/retry/eval_P_8_tr0_k2_T1.0_s1.dat.tmp")[0] == "eval_cluster/retry/eval_P_8_tr0_k2_T1.0_s1.dat"

@@ -13,14 +13,15 @@ retyped), repeated field names (the first stands for the field), empty tables, c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrid.cluster import cut
 from tallygrid.operators.ordered import before
 
 
@@ -36,12 +37,16 @@ class Node:
 
 @dataclass(frozen=True)
 class Change:
-    """One step of a script. Paths are of identities, joined by points."""
+    """One step of a script. ``at`` is the field's path of identities in the old tree, ``to`` and ``place`` where it comes to in the new one."""
 
     kind: str
     identity: str
     old: str | None = None
     new: str | None = None
+    at: tuple[str, ...] = field(default=(), compare=False)
+    to: tuple[str, ...] = field(default=(), compare=False)
+    place: int = field(default=-1, compare=False)
+    made: str | None = field(default=None, compare=False)
 
 
 def node_of(name: str, kind: T.DataType, identity: Callable[[str], str] = str) -> Node:
@@ -72,8 +77,8 @@ class _Numbered:
 
     def _walk(self, node: Node, place: int) -> tuple[int, int]:
         first: dict[str, tuple[int, Node]] = {}
-        for k, child in enumerate(node.children):
-            first.setdefault(child.identity, (k, child))
+        for child in node.children:
+            first.setdefault(child.identity, (len(first), child))
         mine, leftmost = [], None
         for k, child in sorted(first.values(), key=lambda kc: kc[1].identity):
             at, low = self._walk(child, k)
@@ -88,6 +93,10 @@ class _Numbered:
             self.parent[m] = here
         return here, self.left[here]
 
+    def path(self, i: int) -> tuple[str, ...]:
+        """Identities from below the root down to a node."""
+        return (*self.path(self.parent[i]), self.nodes[i].identity) if self.parent[i] >= 0 else ()
+
 
 def _relabel(a: Node, b: Node) -> float:
     if a.identity != b.identity:
@@ -158,27 +167,75 @@ def edit_script(old: Node, new: Node) -> list[Change]:
     one, two = _Numbered(old), _Numbered(new)
     _, pairs = _matched(one, two)
     there, back = dict(pairs), {q: p for p, q in pairs}
-    gone = {one.nodes[p].identity: p for p in range(len(one.nodes)) if p not in there}
-    come = {two.nodes[q].identity: q for q in range(len(two.nodes)) if q not in back}
-    moved = {i: (gone[i], come[i]) for i in gone.keys() & come.keys()}
-    out = [Change("removed", i, one.nodes[p].name) for i, p in gone.items() if i not in moved]
-    out += [Change("added", i, None, two.nodes[q].name) for i, q in come.items() if i not in moved]
-    siblings: dict[tuple[int, int], list[tuple[int, int, str]]] = {}
-    for p, q in [*pairs, *moved.values()]:
+    come: dict[str, list[int]] = {}
+    for q in range(len(two.nodes)):
+        if q not in back:
+            come.setdefault(two.nodes[q].identity, []).append(q)
+    out, moved = [], []
+    for p in range(len(one.nodes)):
+        if p not in there:
+            if come.get(one.nodes[p].identity):
+                moved.append((p, come[one.nodes[p].identity].pop(0)))
+            else:
+                out.append(Change("removed", one.nodes[p].identity, one.nodes[p].name, None, one.path(p)))
+    out += [Change("added", i, None, two.nodes[q].name, (), two.path(q), two.place[q], two.nodes[q].kind) for i, qs in come.items() for q in qs]
+    siblings: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for p, q in [*pairs, *moved]:
         a, b = one.nodes[p], two.nodes[q]
         if one.parent[p] >= 0 and there.get(one.parent[p]) == two.parent[q]:
-            siblings.setdefault((one.parent[p], two.parent[q]), []).append((one.place[p], two.place[q], b.identity))
+            siblings.setdefault((one.parent[p], two.parent[q]), []).append((one.place[p], two.place[q], p, q))
         elif one.parent[p] >= 0:
-            out.append(Change("moved", b.identity, one.nodes[one.parent[p]].identity, two.nodes[two.parent[q]].identity if two.parent[q] >= 0 else None))
+            out.append(Change("moved", b.identity, one.nodes[one.parent[p]].identity, two.nodes[two.parent[q]].identity if two.parent[q] >= 0 else None, one.path(p), two.path(q), two.place[q]))
         if a.name != b.name:
-            out.append(Change("renamed", b.identity, a.name, b.name))
+            out.append(Change("renamed", b.identity, a.name, b.name, one.path(p)))
         if a.kind is not None and b.kind is not None and a.kind != b.kind:
-            out.append(Change("retyped", b.identity, a.kind, b.kind))
+            out.append(Change("retyped", b.identity, a.kind, b.kind, one.path(p)))
     for group in siblings.values():
         group.sort()
-        kept = _rising([q for _, q, _ in group])
-        out += [Change("moved", identity, str(p), str(q)) for k, (p, q, identity) in enumerate(group) if k not in kept]
-    return sorted(out, key=lambda c: (c.kind, c.identity))
+        kept = _rising([to for _, to, *_ in group])
+        out += [Change("moved", two.nodes[q].identity, str(was), str(to), one.path(p), two.path(q), to) for k, (was, to, p, q) in enumerate(group) if k not in kept]
+    return sorted(out, key=lambda c: (c.kind, c.identity, c.at, c.to))
+
+
+@dataclass
+class Planned:
+    """A field of the schema that a script leads to; ``source`` is the path of names of the old field it is taken from."""
+
+    name: str
+    identity: str
+    kind: str | None
+    source: tuple[str, ...] | None
+    children: list["Planned"] = field(default_factory=list)
+
+
+def apply_script(old: Node, script: list[Change]) -> Planned:
+    """The tree that the steps lead to: fields are taken out, changed, and put in at their places, parents first."""
+    found: dict[tuple[str, ...], Planned] = {}
+    above: dict[tuple[str, ...], Planned] = {}
+
+    def plant(node: Node, path: tuple[str, ...], source: tuple[str, ...]) -> Planned:
+        out = found[path] = Planned(node.name, node.identity, node.kind, source)
+        for child in node.children:
+            at = (*path, child.identity)
+            if at not in found:
+                above[at] = out
+                out.children.append(plant(child, at, (*source, child.name)))
+        return out
+
+    root = plant(old, (), ())
+    for c in script:
+        if c.kind == "renamed":
+            found[c.at].name = c.new
+        elif c.kind == "retyped":
+            found[c.at].kind = c.new
+        elif c.kind in ("removed", "moved"):
+            above[c.at].children = [x for x in above[c.at].children if x is not found[c.at]]
+    for c in sorted((c for c in script if c.kind in ("added", "moved")), key=lambda c: (len(c.to), c.place)):
+        parent = root
+        for identity in c.to[:-1]:
+            parent = next(x for x in parent.children if x.identity == identity)
+        parent.children.insert(c.place, found[c.at] if c.kind == "moved" else Planned(c.new, c.identity, c.made, None))
+    return root
 
 
 def distance(old: Node, new: Node) -> float:
@@ -216,31 +273,83 @@ def consistent(schemas: list[T.StructType], identity: Callable[[str], str] = str
     return T.StructType([T.StructField(k, widest(v)) for k, v in seen.items()])
 
 
-def _as(value: Column, have: T.DataType, want: T.DataType, identity: Callable[[str], str]) -> Column:
-    if have == want:
-        return value
-    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
-        by = {identity(f.name): f for f in reversed(have.fields)}
-        inner = [(_as(value[by[w.name].name], by[w.name].dataType, w.dataType, identity) if w.name in by else F.lit(None).cast(w.dataType)).alias(w.name) for w in want.fields]
-        return F.when(value.isNotNull(), F.struct(*inner))
-    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
-        return F.transform(value, lambda x: _as(x, have.elementType, want.elementType, identity))
-    if isinstance(want, T.StringType) and isinstance(have, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(value)
-    return value.try_cast(want)
+def _ddl(f: Planned) -> str:
+    if f.kind == "struct":
+        return "struct<" + ",".join(f"`{c.name}`:{_ddl(c)}" for c in f.children) + ">"
+    if f.kind in ("array", "map"):
+        return f"{f.kind}<{','.join(map(_ddl, f.children))}>"
+    return f.kind or "void"
+
+
+def _reach(source: tuple[str, ...] | None, base: tuple[str, ...], value: Column | None, have: T.DataType) -> tuple[Column, T.DataType] | None:
+    """The old field at a path, if only structs lie between it and where ``value`` is."""
+    if source is None or source[: len(base)] != base:
+        return None
+    for name in source[len(base) :]:
+        if not isinstance(have, T.StructType):
+            return None
+        value = F.col(f"`{name}`") if value is None else value.getField(name)
+        have = have[name].dataType
+    return value, have
+
+
+def _from_elsewhere(f: Planned, home: tuple[str, ...] | None) -> bool:
+    """Whether the field or one below it is taken from outside ``home``; without a home, from anywhere."""
+    own = f.source is not None and (home is None or f.source[: len(home)] != home)
+    return own or any(_from_elsewhere(c, home) for c in f.children)
+
+
+def _column(f: Planned, base: tuple[str, ...], value: Column | None, have: T.DataType) -> Column:
+    got, none = _reach(f.source, base, value, have), F.lit(None).cast(_ddl(f))
+    if f.kind == "struct":
+        if got is not None and not isinstance(got[1], T.StructType) or not f.children:
+            return none
+        inner = [_column(c, base, value, have).alias(c.name) for c in f.children]
+        # there if the struct was, or if a field that has come in from elsewhere is
+        there = [got[0].isNotNull()] if got is not None else []
+        there += [x.isNotNull() for x, c in zip(inner, f.children, strict=True) if _from_elsewhere(c, f.source if got is not None else None)]
+        return F.when(reduce(Column.__or__, there), F.struct(*inner)) if there else none
+    if got is None:
+        return none
+    column, kind = got
+    if f.kind is None or _ddl(f).replace("`", "") == kind.simpleString():
+        return column
+    if f.kind == "array":
+        return F.transform(column, lambda x: _column(f.children[0], (*f.source, "element"), x, kind.elementType)) if isinstance(kind, T.ArrayType) else none
+    if f.kind == "map":
+        if not isinstance(kind, T.MapType):
+            return none
+        key, of = f.children
+        turned = F.transform_values(column, lambda _, x: _column(of, (*f.source, "value"), x, kind.valueType))
+        return turned if _ddl(key) == kind.keyType.simpleString() else F.transform_keys(turned, lambda k, _: _column(key, (*f.source, "key"), k, kind.keyType))
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(column) if f.kind == "string" else none
+    return column.try_cast(f.kind)
+
+
+def compile_script(have: T.StructType, script: list[Change], identity: Callable[[str], str] = str) -> list[Column]:
+    """A script from the schema ``have`` as a projection: picks, renames, casts, moves, and nulls for added fields.
+
+    A value that doesn't cast is null, a struct or array that becomes text is JSON, and a field can't be moved out of or
+    into the elements of an array or map: it is null there.
+    """
+    return [_column(f, (), None, have).alias(f.name) for f in apply_script(node_of("", have, identity), script).children]
 
 
 def projection(have: T.StructType, want: T.StructType, identity: Callable[[str], str] = str) -> list[Column]:
-    """The script from one schema to the other as a projection: picks, renames, casts and nulls for absent fields."""
-    by = {identity(f.name): f for f in reversed(have.fields)}
-    return [(_as(F.col(f"`{by[w.name].name}`"), by[w.name].dataType, w.dataType, identity) if w.name in by else F.lit(None).cast(w.dataType)).alias(w.name) for w in want.fields]
+    """What the cheapest script from one schema to the other compiles to; the fields of ``want`` are named by their identities."""
+    return compile_script(have, edit_script(node_of("", have, identity), node_of("", want)), identity)
+
 
+def read_consistent(spark: SparkSession, groups: list[list[str]], identity: Callable[[str], str] = str, form: str = "parquet", want: T.StructType | None = None) -> tuple[DataFrame, list[list[Change]]]:
+    """Groups of files, each group with one schema, in order of time, as one table, and the changes from group to group.
 
-def read_consistent(spark: SparkSession, groups: list[list[str]], identity: Callable[[str], str] = str, form: str = "parquet") -> tuple[DataFrame, list[list[Change]]]:
-    """Groups of files, each group with one schema, in order of time, as one table, and the changes from group to group."""
+    The table has the schema ``want``, whose fields are named by identity, or else one that holds all of the groups'. The
+    script from each group's schema to it is applied to the group's files.
+    """
     frames = [spark.read.format(form).load(g) for g in groups]
     schemas = [f.schema for f in frames]
-    want = consistent(schemas, identity)
+    want = consistent(schemas, identity) if want is None else want
     trees = [node_of("", s, identity) for s in schemas]
     table = reduce(DataFrame.unionAll, [f.select(*projection(f.schema, want, identity)) for f in frames])
     return table, [edit_script(a, b) for a, b in zip(trees, trees[1:], strict=False)]
@@ -278,44 +387,69 @@ def batch_schemas(batches: DataFrame, lines: DataFrame, names: DataFrame) -> Dat
     return head.select("batch_id", "stream", "exported_at").join(listed, "batch_id", "left")
 
 
+FIELDS = "array<struct<pos:int,name:string,identity:string,width:tinyint>>"
+
+
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Over as many tasks as there are cores or shuffle partitions: few bytes, but work for each row, that Spark would put into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 def batch_changes(schemas: DataFrame) -> DataFrame:
     """``batch_id, stream, field, change_kind, old, new``: the edit script from the batch before in the stream to each batch.
 
-    Neighbours with one and the same pair of schemas share a computation within a task.
+    Each distinct pair of schemas is compared once, the pairs spread over all tasks.
     """
-    pairs = before(schemas, "stream", ["exported_at", "batch_id"], "fields", "earlier").filter(F.col("earlier").isNotNull() & F.col("fields").isNotNull())
+    follow = before(cut(schemas), "stream", ["exported_at", "batch_id"], "fields", "earlier").filter(F.col("earlier").isNotNull() & F.col("fields").isNotNull())
+    follow = cut(follow.select("batch_id", "stream", F.col("earlier").cast(FIELDS).alias("earlier"), F.col("fields").cast(FIELDS).alias("fields")))
 
-    def tree(fields) -> Node:
+    def tree(fields: list[dict]) -> Node:
         return Node("", "", "struct", tuple(Node(f["name"], f["identity"], CELL_TYPES[f["width"]] or None) for f in fields))
 
-    def scripts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[Node, Node], list[Change]] = {}
-        for frame in frames:
-            rows = []
-            for batch_id, stream, old, new in zip(frame.batch_id, frame.stream, frame.earlier, frame.fields, strict=True):
-                key = tree(old), tree(new)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = edit_script(*key)
-                rows += [(batch_id, stream, c.identity, c.kind, c.old, c.new) for c in known[key]]
-            yield pd.DataFrame(rows, columns=["batch_id", "stream", "field", "change_kind", "old", "new"])
+    def scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = pa.struct([(n, pa.string()) for n in ("identity", "kind", "old", "new")])
+        for batch in batches:
+            found = [[{"identity": c.identity, "kind": c.kind, "old": c.old, "new": c.new} for c in edit_script(tree(old), tree(new))] for old, new in zip(batch.column("earlier").to_pylist(), batch.column("fields").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("earlier"), batch.column("fields"), pa.array(found, pa.list_(step))], names=["earlier", "fields", "steps"])
 
-    return pairs.select("batch_id", "stream", "earlier", "fields").mapInPandas(scripts, "batch_id bigint, stream string, field string, change_kind string, old string, new string")
+    pairs = _spread(follow.select("earlier", "fields").distinct(), "earlier", "fields")
+    known = pairs.mapInArrow(scripts, f"earlier {FIELDS}, fields {FIELDS}, steps array<struct<identity:string,kind:string,old:string,new:string>>").filter("size(steps) > 0")
+    listed = follow.join(known, ["earlier", "fields"]).select("batch_id", "stream", F.explode("steps").alias("s"))
+    return listed.select("batch_id", "stream", F.col("s.identity").alias("field"), F.col("s.kind").alias("change_kind"), "s.old", "s.new")
 
 
-def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target: dict[str, str], raw: str | None = None) -> DataFrame:
+def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target: dict[str, str], raw: str | None = None, script: Callable[[Node, Node], list[Change]] = edit_script) -> DataFrame:
     """All lines, each once, in one schema: ``batch_id, line_no``, the target fields with their types, and ``others``.
 
-    Each batch has a map from field identity to position, found in its header and not by the edit script, that the line's cells are picked by. Cells that are
-    missing or not of the type are null; fields outside the target are kept in the map ``others``. ``raw`` names a map
-    from target field to the text of a cell that is there but not of the type, so that no cell is lost.
+    For each distinct header the script to the target is compiled into two maps, from target field to position and
+    whether its text is cast, and from field that is taken out to position, by which the cells of all its lines are
+    picked. Cells that are missing or not of the type are null; fields outside the target are kept in the map ``others``.
+    ``raw`` names a map from target field to the text of a cell that is there but not of the type, so that no cell is lost.
     """
     head = batches.select("batch_id", "delimiter", "header").dropDuplicates(["batch_id"])
     known = names.select(F.col("known_name").alias("name"), "field").dropDuplicates(["name"])
-    fields = head.select("batch_id", F.posexplode(_cells("header")).alias("pos", "name")).join(known, "name", "left")
-    first = fields.groupBy("batch_id", F.coalesce("field", "name").alias("identity")).agg(F.min("pos").alias("pos"))
-    plan = first.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct("identity", "pos"))).alias("plan"))
+    written = head.select("batch_id", F.posexplode(_cells("header")).alias("pos", "name")).join(known, "name", "left")
+    kind = "array<struct<pos:int,name:string,identity:string>>"
+    layouts = cut(written.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.coalesce("field", "name").alias("identity")))).cast(kind).alias("fields")))
+    want = Node("", "", "struct", tuple(Node(k, k, t) for k, t in target.items()))
+
+    def compiled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks = pa.map_(pa.string(), pa.struct([("pos", pa.int32()), ("typed", pa.bool_())]))
+        for batch in stream:
+            plans, rests = [], []
+            for fields in batch.column("fields").to_pylist():
+                old = Node("", "", "struct", tuple(Node(f["name"], f["identity"], "string") for f in fields))
+                at: dict[str, int] = {}
+                for f in fields:
+                    at.setdefault(f["name"], f["pos"])
+                steps = script(old, want)
+                plans.append([(f.name, {"pos": at[f.source[0]], "typed": f.kind == target[f.name]}) for f in apply_script(old, steps).children if f.source and f.name in target])
+                rests.append([(c.identity, at[c.old]) for c in steps if c.kind == "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("fields"), pa.array(plans, picks), pa.array(rests, pa.map_(pa.string(), pa.int32()))], names=["fields", "plan", "rest"])
+
+    plans = _spread(layouts.select("fields").distinct(), "fields").mapInArrow(compiled, f"fields {kind}, plan map<string,struct<pos:int,typed:boolean>>, rest map<string,int>")
+    plan = layouts.join(plans, "fields").select("batch_id", "plan", "rest")
     once = lines.select("batch_id", "line_no", "line").dropDuplicates(["batch_id", "line_no"])
     cells = once.join(head.select("batch_id", "delimiter"), "batch_id").join(plan, "batch_id").withColumn("cells", _cells("line"))
 
@@ -323,10 +457,12 @@ def unified_lines(batches: DataFrame, lines: DataFrame, names: DataFrame, target
         cell = F.get(F.col("cells"), at)
         return F.when(_width(cell) > 0, cell)
 
-    rest = F.transform_values(F.map_filter("plan", lambda k, _: ~k.isin(list(target))), lambda _, at: pick(at))
-    texts = {k: pick(F.element_at(F.col("plan"), F.lit(k))) for k in target}
-    out = [texts[k].try_cast(t).alias(k) for k, t in target.items()]
+    rest = F.transform_values("rest", lambda _, at: pick(at))
+    place = {k: F.element_at(F.col("plan"), F.lit(k)) for k in target}
+    texts = {k: pick(p["pos"]) for k, p in place.items()}
+    typed = {k: F.when(place[k]["typed"], texts[k].try_cast(t)) for k, t in target.items()}
+    out = [c.alias(k) for k, c in typed.items()]
     if raw is not None:
-        uncast = F.create_map(*[x for k, t in target.items() for x in (F.lit(k), F.when(texts[k].try_cast(t).isNull(), texts[k]))])
+        uncast = F.create_map(*[x for k in target for x in (F.lit(k), F.when(typed[k].isNull(), texts[k]))])
         out.append(F.map_filter(uncast, lambda _, v: v.isNotNull()).alias(raw))
     return cells.select("batch_id", "line_no", *out, rest.alias("others"))

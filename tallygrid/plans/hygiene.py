@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.cluster import checkpoint_dir, cut
 from tallygrid.operators import reject_rows, run_records, schema_drift, small_files
@@ -51,10 +52,41 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.batch_changes(schemas).filter(F.col("change_kind").isin("added", "removed", "renamed", "retyped")).select("batch_id", "field", "change_kind")
 
 
+def _text(cells: str) -> Column:
+    """A map as ``field=cell`` in order of the fields, for comparison; fields without a cell as ``field``."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(cells)), lambda k: F.concat_ws("=", k, F.element_at(F.col(cells), k))), ";")
+
+
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     """All cells: typed, in ``raw`` where they aren't of the type, and in ``other_cells``, whose number is ``others``."""
     rows = schema_drift.unified_lines(*(table(spark, d, t) for t in ("tidy_batches", "tidy_lines", "field_names")), TARGET, raw="raw")
-    return rows.withColumnRenamed("others", "other_cells").withColumn("others", F.size("other_cells"))
+    return rows.withColumnRenamed("others", "other_cells").withColumns({"others": F.size("other_cells"), "raw_text": _text("raw"), "other_text": _text("other_cells")})
+
+
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the maps as text."""
+    return p2_unified(spark, d).drop("raw", "other_cells")
+
+
+#: Names of one field over time, in the nested files of p2_nested.
+NESTED = "key bigint, info struct<total:double, status:string, who:struct<cust:bigint, priority:string>, day:string>"
+FORMER = {"amount": "total", "prio": "priority", "customer": "cust"}
+
+
+def p2_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in three sets of files, one for each status, whose nested schemas differ: fields renamed, retyped, moved between
+    structs and missing; read as one table."""
+    o, out = table(spark, d, "orders"), f"{checkpoint_dir(spark)}/p2_nested_{uuid.uuid4().hex}"
+    key, total, status = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus").alias("status")
+    forms = {
+        "O": o.select(key.alias("key"), F.struct(total.alias("total"), status, F.struct(F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("priority")).alias("who")).alias("info")),
+        "F": o.select(key.cast("string").alias("key"), F.struct(total.alias("amount"), F.struct(F.col("o_custkey").alias("customer")).alias("who"), status).alias("info"), F.col("o_orderpriority").alias("prio")),
+        "P": o.select(F.struct(status, F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).alias("info"), key.alias("key")),
+    }
+    for s, form in forms.items():
+        form.filter(F.col("info.status") == s).write.parquet(f"{out}/{s}")
+    rows, _ = schema_drift.read_consistent(spark, [[f"{out}/{s}"] for s in forms], lambda n: FORMER.get(n, n), want=T._parse_datatype_string(NESTED))
+    return rows.select("key", F.col("info.status").alias("status"), F.col("info.total").alias("total"), F.col("info.day").alias("day"), F.col("info.who.cust").alias("cust"), F.col("info.who.priority").alias("priority"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +134,10 @@ judged AS (SELECT line_id, layout, f, CASE WHEN NOT ok THEN 'quoting' WHEN len(f
   WHEN layout = 'runs' AND (f[1] = '' OR f[2] = '' OR NOT f[3] SIMILAR TO '[0-9]+' OR NOT regexp_full_match(f[4], '{_NUM}') OR NOT coalesce(try_cast(f[4] AS DOUBLE) BETWEEN 0 AND 1, false)
     OR NOT regexp_full_match(f[5], '{_NUM}') OR NOT coalesce(try_cast(f[5] AS DOUBLE) >= 0 AND isfinite(try_cast(f[5] AS DOUBLE)), false)) THEN 'invalid_value' END AS reason FROM cut)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p1_records, p1_written, p2_found, p2_unified, p4_found, p4_mood, p4_runs)}
+_TARGETS = "(" + ", ".join(f"'{k}'" for k in TARGET) + ")"
+_CAST = {"string": "cell", "double": "try_cast(cell AS DOUBLE)", "bigint": "CASE WHEN regexp_full_match(cell, '[+-]?[0-9]+') THEN try_cast(cell AS BIGINT) END"}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p1_records, p1_written, p2_found, p2_unified, p2_rows, p2_nested, p4_found, p4_mood, p4_runs)}
 SQL = {
     "p1_found": f"WITH {_RECORDS} SELECT file_id, line_no::INT AS line_no FROM (SELECT file_id, line_no, row_number() OVER (PARTITION BY run, v ORDER BY file_id, line_no) AS k FROM good) WHERE k > 1",
     "p1_bundles": "SELECT file_id, path, strlen(content)::BIGINT AS n_bytes, md5(content) AS md5, true AS intact FROM (SELECT DISTINCT file_id, path, content FROM result_files)",
@@ -117,11 +152,13 @@ news AS (SELECT s.batch_id, f.field, f.name, f.w FROM steps s JOIN fields f ON f
 both_ AS (SELECT coalesce(n.batch_id, o.batch_id) AS batch_id, coalesce(n.field, o.field) AS field, n.name AS nn, o.name AS oname, n.w AS nw, o.w AS ow FROM news n FULL JOIN olds o ON n.batch_id = o.batch_id AND n.field = o.field)
 SELECT batch_id, field, 'added' AS change_kind FROM both_ WHERE oname IS NULL UNION ALL SELECT batch_id, field, 'removed' FROM both_ WHERE nn IS NULL
 UNION ALL SELECT batch_id, field, 'renamed' FROM both_ WHERE nn <> oname UNION ALL SELECT batch_id, field, 'retyped' FROM both_ WHERE nw <> ow""",
-    "p2_unified": f"""WITH {_FIELDS}, {_CELLS},
-clean AS (SELECT DISTINCT c.batch_id, c.line_no, k.field, CASE WHEN lower(c.cell) NOT IN {_MISSING} THEN c.cell END AS cell FROM cells c JOIN known k USING (batch_id, pos))
-SELECT batch_id, line_no, {", ".join(f'try_cast(max(cell) FILTER (field = {chr(39)}{k}{chr(39)}) AS {"VARCHAR" if t == "string" else t.upper()}) AS "{k}"' for k, t in TARGET.items() if k != "seed")},
-try_cast(max(cell) FILTER (field = 'seed' AND regexp_full_match(cell, '[+-]?[0-9]+')) AS BIGINT) AS seed,
-(count(*) FILTER (field NOT IN ({", ".join(f"'{k}'" for k in TARGET)})))::INT AS others FROM clean GROUP BY batch_id, line_no""",
+    "p2_rows": f"""WITH {_FIELDS}, {_CELLS},
+clean AS (SELECT DISTINCT c.batch_id, c.line_no, k.field, CASE WHEN lower(c.cell) NOT IN {_MISSING} THEN c.cell END AS cell FROM cells c JOIN known k USING (batch_id, pos)),
+typed AS (SELECT *, CASE {" ".join(f"WHEN field = '{k}' THEN {_CAST[t]} IS NOT NULL" for k, t in TARGET.items())} END AS fits FROM clean)
+SELECT batch_id, line_no, {", ".join(f"""max({_CAST[t]}) FILTER (field = '{k}' AND fits) AS "{k}\"""" for k, t in TARGET.items())},
+(count(*) FILTER (field NOT IN {_TARGETS}))::INT AS others, coalesce(string_agg(field || '=' || cell, ';' ORDER BY field) FILTER (field IN {_TARGETS} AND cell IS NOT NULL AND NOT fits), '') AS raw_text,
+coalesce(string_agg(field || CASE WHEN cell IS NULL THEN '' ELSE '=' || cell END, ';' ORDER BY field) FILTER (field NOT IN {_TARGETS}), '') AS other_text FROM typed GROUP BY batch_id, line_no""",
+    "p2_nested": "SELECT o_orderkey AS key, o_orderstatus AS status, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS total, CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS cust, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority FROM orders",
     "p4_found": f"WITH {_LINES} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_mood": f"WITH {_LINES} SELECT line_id, {', '.join(f'f[{i + 1}]::BIGINT AS c{i}' for i in range(7))} FROM judged WHERE reason IS NULL AND layout = 'mood'",
     "p4_runs": f"WITH {_LINES} SELECT line_id, f[1] AS problem, f[2] AS algorithm, try_cast(f[3] AS BIGINT) AS seed, CASE WHEN ltrim(f[3], '0') = '' THEN '0' ELSE ltrim(f[3], '0') END AS seed_digits, f[4]::DOUBLE AS f1, f[5]::DOUBLE AS \"time\", f[6] AS note FROM judged WHERE reason IS NULL AND layout = 'runs'",

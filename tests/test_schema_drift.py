@@ -25,7 +25,7 @@ def test_flat_scripts():
     assert kinds(flat(("a", "a", "1"), ("b", "b", "1"), ("c", "c", "1")), flat(("c", "c", "1"), ("a", "a", "1"), ("b", "b", "1"))) == [("moved", "c")]
 
 
-def test_nested_scripts():
+def test_nested_scripts(spark):
     s = lambda t: D.node_of("", T._parse_datatype_string(t))
     assert kinds(s("struct<a:int,b:struct<c:int,d:string>>"), s("struct<a:bigint,b:struct<d:string>>")) == [("removed", "c"), ("retyped", "a")]
     assert ("moved", "c") in kinds(s("struct<a:int,b:struct<c:int,d:string>>"), s("struct<a:int,c:int,b:struct<d:string>>"))
@@ -127,3 +127,54 @@ def test_files_with_drifting_schemas(spark, tmp_path):
     table, changes = D.read_consistent(spark, [[str(tmp_path / "a")], [str(tmp_path / "b")]], str.lower)
     assert sorted(map(tuple, table.collect()), key=str) == [(1, ("a", 2), None), (3, ("b", None), 5.5)]
     assert {(c.kind, c.identity) for c in changes[0]} >= {("added", "extra"), ("removed", "n"), ("renamed", "s"), ("retyped", "id")}
+
+
+def test_rows_follow_the_script(spark):
+    """Without a step of the script the rows are others: the projection is what the script compiles to."""
+    f = frames(spark, [(1, "s", 1, ",", "nsel,f1,z")], [(1, 1, "4,0.5,q")])
+    target = {"n_selected": "bigint", "f1": "double", "edges": "double"}
+
+    def rows(*left_out):
+        script = lambda a, b: [c for c in D.edit_script(a, b) if c.kind not in left_out]
+        return [tuple(r) for r in D.unified_lines(*f, target, script=script).collect()]
+
+    assert rows() == [(1, 1, 4, 0.5, None, {"z": "q"})]
+    assert rows("renamed") == [(1, 1, None, 0.5, None, {"z": "q"})]
+    assert rows("retyped") == [(1, 1, None, None, None, {"z": "q"})]
+    assert rows("removed") == [(1, 1, 4, 0.5, None, {})]
+
+
+def test_compiled_scripts(spark):
+    have = T._parse_datatype_string("a:int,s:struct<b:string,c:struct<d:int>,gone:int>,l:array<struct<x:int,y:string>>,m:map<string,int>,big:struct<q:int>")
+    want = T._parse_datatype_string("d:bigint,s:struct<c:struct<a:int>,b:string,fresh:struct<n:int>>,l:array<struct<y:string,x:string,z:int>>,m:map<string,string>,big:string")
+    df = spark.createDataFrame([(1, ("u", (2,), 3), [(4, "v"), None], {"k": 5}, (6,)), (None, None, None, None, None), (7, None, [], {}, (None,))], have)
+    got = df.select(*D.projection(have, want))
+    assert [f.dataType.simpleString() for f in got.schema.fields] == [f.dataType.simpleString() for f in want.fields] and got.columns == want.names
+    rows = [tuple(r) for r in got.collect()]
+    assert rows[0] == (2, ((1,), "u", None), [("v", "4", None), None], {"k": "5"}, '{"q":6}')
+    assert rows[1] == (None, None, None, None, None)
+    # a field that was moved into a struct which isn't there brings the struct about
+    assert rows[2] == (None, ((7,), None, None), [], {}, "{}")
+
+
+def test_repeated_identities_at_several_places(spark):
+    s = lambda t: D.node_of("", T._parse_datatype_string(t))
+    old, new = s("struct<a:struct<n:int,k:int>,b:struct<n:int,k:int>>"), s("struct<a:struct<k:int>,b:struct<k:int>>")
+    assert [(c.kind, c.at) for c in D.edit_script(old, new)] == [("removed", ("a", "n")), ("removed", ("b", "n"))]
+
+
+def planned(f):
+    return (f.name, f.kind, tuple(map(planned, f.children)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees, trees)
+def test_applied_scripts_give_the_new_tree(one, two):
+    def node(t):
+        return D.Node(t[0].upper() if t[1] == "y" else t[0], t[0], t[1], tuple(map(node, t[2])))
+
+    def plain(n):
+        return (n.name, n.kind, tuple(map(plain, n.children)))
+
+    a, b = D.Node("", "", "struct", (node(one),)), D.Node("", "", "struct", (node(two),))
+    assert planned(D.apply_script(a, D.edit_script(a, b))) == plain(b)

@@ -393,7 +393,8 @@ FIELDS = "array<struct<pos:int,name:string,identity:string,width:tinyint>>"
 def _spread(df: DataFrame, *columns: str) -> DataFrame:
     """Over as many tasks as there are cores or shuffle partitions: few bytes, but work for each row, that Spark would put into one task."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+    # by a hash of its own: by the columns themselves the optimizer would drop it after an aggregation by them
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(*columns))
 
 
 def batch_changes(schemas: DataFrame) -> DataFrame:
@@ -402,7 +403,9 @@ def batch_changes(schemas: DataFrame) -> DataFrame:
     Each distinct pair of schemas is compared once, the pairs spread over all tasks.
     """
     follow = before(cut(schemas), "stream", ["exported_at", "batch_id"], "fields", "earlier").filter(F.col("earlier").isNotNull() & F.col("fields").isNotNull())
-    follow = cut(follow.select("batch_id", "stream", F.col("earlier").cast(FIELDS).alias("earlier"), F.col("fields").cast(FIELDS).alias("fields")))
+    # pairs go by a digest of 128 bits, in which no two different ones are to be expected to agree
+    digests = [F.xxhash64(F.lit(seed), "earlier", "fields").alias(f"h{seed}") for seed in (1, 2)]
+    follow = cut(follow.select("batch_id", "stream", F.col("earlier").cast(FIELDS).alias("earlier"), F.col("fields").cast(FIELDS).alias("fields")).select("*", *digests))
 
     def tree(fields: list[dict]) -> Node:
         return Node("", "", "struct", tuple(Node(f["name"], f["identity"], CELL_TYPES[f["width"]] or None) for f in fields))
@@ -411,11 +414,11 @@ def batch_changes(schemas: DataFrame) -> DataFrame:
         step = pa.struct([(n, pa.string()) for n in ("identity", "kind", "old", "new")])
         for batch in batches:
             found = [[{"identity": c.identity, "kind": c.kind, "old": c.old, "new": c.new} for c in edit_script(tree(old), tree(new))] for old, new in zip(batch.column("earlier").to_pylist(), batch.column("fields").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("earlier"), batch.column("fields"), pa.array(found, pa.list_(step))], names=["earlier", "fields", "steps"])
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(found, pa.list_(step))], names=["h1", "h2", "steps"])
 
-    pairs = _spread(follow.select("earlier", "fields").distinct(), "earlier", "fields")
-    known = pairs.mapInArrow(scripts, f"earlier {FIELDS}, fields {FIELDS}, steps array<struct<identity:string,kind:string,old:string,new:string>>").filter("size(steps) > 0")
-    listed = follow.join(known, ["earlier", "fields"]).select("batch_id", "stream", F.explode("steps").alias("s"))
+    pairs = _spread(follow.select("h1", "h2", "earlier", "fields").dropDuplicates(["h1", "h2"]), "h1", "h2")
+    known = pairs.mapInArrow(scripts, "h1 bigint, h2 bigint, steps array<struct<identity:string,kind:string,old:string,new:string>>").filter("size(steps) > 0")
+    listed = follow.select("batch_id", "stream", "h1", "h2").join(known, ["h1", "h2"]).select("batch_id", "stream", F.explode("steps").alias("s"))
     return listed.select("batch_id", "stream", F.col("s.identity").alias("field"), F.col("s.kind").alias("change_kind"), "s.old", "s.new")
 
 

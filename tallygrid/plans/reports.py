@@ -234,7 +234,7 @@ SQL = {
     "kl_divergence": "WITH s AS (SELECT l_returnflag, l_quantity / sum(l_quantity) OVER w AS p, l_extendedprice / sum(l_extendedprice) OVER w AS q FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)) SELECT l_returnflag, round(sum(p * ln(p / greatest(q, 1e-300))), 8) AS kl FROM s WHERE p > 0 GROUP BY 1",
     "tidy_results": r"""WITH f AS (SELECT DISTINCT file_id, path, content FROM result_files), n AS (SELECT *, regexp_extract(path, 'eval_([^/]+)_tr([0-9]+)_([^/]+)_T([0-9.]+)_s([0-9]+)\.dat', ['problem', 'tr', 'algorithm', 'temp', 'seed']) AS r FROM f),
 l AS (SELECT file_id, path, r, string_split_regex(content, '\r?\n') AS ls FROM n WHERE r.problem <> ''), p AS (SELECT *, list_filter(ls, lambda x: starts_with(x, '#')) AS notes, list_filter(list_transform(list_filter(ls, lambda x: NOT starts_with(x, '#')), lambda x: string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')), lambda v: len(v) = 11) AS recs FROM l),
-q AS (SELECT r, array_to_string(notes, ' ') AS note, recs[1] AS v, r.tr::INT AS tr FROM p WHERE len(recs) > 0),
+q AS (SELECT r, array_to_string(notes, ' ') AS note, unnest(recs) AS v, r.tr::INT AS tr FROM p),
 t AS (SELECT regexp_replace(r.problem, '_[0-9]+$', '') AS family, r.algorithm AS algorithm, tr AS train_set, coalesce(try_cast(nullif(regexp_extract(note, '(?:^|\s)n=([^\s]+)', 1), '') AS INT), try_cast(nullif(regexp_extract(r.problem, '_([0-9]+)$', 1), '') AS INT), -1) AS n, try_cast(nullif(regexp_extract(note, '(?:^|\s)edges=([^\s]+)', 1), '') AS DOUBLE) AS edges,
   [try_cast(v[5] AS DOUBLE), try_cast(v[8] AS DOUBLE), try_cast(v[11] AS DOUBLE)] AS sp FROM q), u AS (SELECT *, CASE tr_ WHEN 0 THEN (sp[2] + sp[3]) / 2 WHEN 1 THEN (sp[1] + sp[3]) / 2 WHEN 2 THEN (sp[1] + sp[2]) / 2 END AS test_sp FROM (SELECT *, train_set AS tr_ FROM t))
 SELECT family, algorithm, train_set, CASE WHEN n < 50 THEN 'small' WHEN n < 100 THEN 'medium' ELSE 'large' END AS "group", count(*) AS n, round(avg(CASE WHEN test_sp::VARCHAR <> 'nan' THEN test_sp END), 6) AS test_sp, count(edges) AS with_edges FROM u GROUP BY ALL""",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallygrid.operators import constraint, factors, local_structure, sampling, search, sparse
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
-from tallygrid.operators.counting import Family, Tally, cpds, row_log_probability
+from tallygrid.operators.counting import Family, Tally, cpds, look_up, row_log_probability
 from tallygrid.operators.factors import Circuit, Tables
 from tallygrid.operators.scoring import Scores
 from tallygrid.operators.search import Problem
@@ -300,10 +300,10 @@ class Network:
         """Configurations of the tally with ``logp``; local tables by routing, dense ones by lookup."""
         if self.local:
             return local_structure.local_log_probability(tally.df, list(self.local.values()), floor)
-        t = self._dense()
-        rows = [(v, int(c), int(s), float(p)) for v in range(self.n_vars) for c, row in enumerate(np.atleast_2d(t.probs[v])) for s, p in enumerate(row)]
-        tables = alpha_tables if alpha_tables is not None else tally.df.sparkSession.createDataFrame(rows, "var int, pcfg bigint, state int, p double")
-        return row_log_probability(tally.df, tally, self.families(), tables, floor)
+        if alpha_tables is not None:
+            return row_log_probability(tally.df, tally, self.families(), alpha_tables, floor)
+        logs = [np.log(np.maximum(np.atleast_2d(p), floor)).ravel() for p in self._dense().probs]
+        return look_up(tally.df, tally, self.families(), logs)
 
     def __repr__(self) -> str:
         return f"Network({self.n_vars} variables, {int(self.adjacency.sum())} edges, {'local tables' if self.local else 'tables' if self.tables else 'no tables'})"

@@ -7,13 +7,16 @@ before the shuffle, and folded per group. Cells that never occur are not materia
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import log, prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.functions.special import lgamma
 
@@ -238,12 +241,42 @@ def cpds(t: Tally, families: Sequence[Family], alpha: float = 1.0) -> DataFrame:
     return full.select("var", "pcfg", "state", F.when(total > 0, (F.col("n") + F.lit(alpha) / F.col("k")) / total).otherwise(F.lit(1.0) / F.col("k")).alias("p"))
 
 
+#: Tables of up to this number of cells are written into the query, larger ones are broadcast as arrays.
+MOST_WRITTEN = 20_000
+
+
 def row_log_probability(rows: DataFrame, t: Tally, families: Sequence[Family], tables: DataFrame, floor: float = 1e-12) -> DataFrame:
-    """Each configuration with ``logp``: a map from family, parent configuration and state to p is looked up per variable.
+    """Each configuration with ``logp``, the sum over variables of the log of ``tables`` (``var, pcfg, state, p``).
 
-    The tables of a network are small by the table-size rule; they are joined by Spark, which broadcasts what is small.
+    One projection, without a shuffle of the rows: each variable's term is looked up in its table, by index. Tables
+    are fetched, which the table-size rule bounds and is checked; cells that they don't have count as ``floor``.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    cells = keyed.select("_row", F.explode(F.array(*[F.struct(F.lit(f.var).alias("var"), t.code(f.parents).alias("pcfg"), F.col(f"x{f.var}").alias("state")) for f in families])).alias("r")).select("_row", "r.*")
-    logp = cells.join(tables, ["var", "pcfg", "state"], "left").groupBy("_row").agg(F.sum(F.log(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(floor)))).alias("logp"))
-    return keyed.join(logp, "_row").drop("_row")
+    sizes = {f.var: prod(t.cards[p] for p in f.parents) * t.cards[f.var] for f in families}
+    if sum(sizes.values()) > 1 << 24:
+        raise ValueError("the tables are too large to look up")
+    got = tables.select("var", "pcfg", "state", "p").toPandas()
+    logs = []
+    for f in families:
+        own, flat = got[got["var"] == f.var], np.full(sizes[f.var], log(floor))
+        flat[own["pcfg"].to_numpy(dtype=np.int64) * t.cards[f.var] + own["state"].to_numpy(dtype=np.int64)] = np.log(np.maximum(own["p"].to_numpy(dtype=float), floor))
+        logs.append(flat)
+    return look_up(rows, t, families, logs)
+
+
+def look_up(rows: DataFrame, t: Tally, families: Sequence[Family], logs: Sequence[np.ndarray]) -> DataFrame:
+    """The rows with ``logp``, the sum of an entry of each family's flat table, states fastest."""
+    at = [(t.code(f.parents) * t.cards[f.var] + F.col(f"x{f.var}")).cast("int") for f in families]
+    if sum(map(len, logs)) <= MOST_WRITTEN:
+        terms = [F.get(F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in flat) + ")"), i) for flat, i in zip(logs, at, strict=True)]
+        return rows.withColumn("logp", sum(terms[1:], terms[0]))
+    sent, names = rows.sparkSession.sparkContext.broadcast([np.asarray(x, dtype=float) for x in logs]), rows.columns
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            for j, flat in enumerate(sent.value):
+                total += flat[batch.column(f"_at{j}").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(total)], names=[*names, "logp"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("logp", T.DoubleType())])
+    return rows.select("*", *[i.alias(f"_at{j}") for j, i in enumerate(at)]).mapInArrow(add, schema)

@@ -17,10 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.cluster import cut
+from tallygrid.cluster import told_apart
 
 #: Magic numbers of the zstandard format (RFC 8878): a frame, and a skippable frame.
 FRAME, SKIPPABLE = b"\x28\xb5\x2f\xfd", b"\x50\x2a\x4d\x18"
@@ -65,29 +65,10 @@ def _cut_header(body: bytes, lines: int) -> tuple[bytes, bytes]:
     return body[:at], body[at:]
 
 
-#: Words of the filter of repeated ids, 64 bits each: 2 MB and a few bits an id for about a million repeated ids; with more,
-#: more is shuffled and the result is the same.
-WORDS = 1 << 18
-
-
-def _place(file_id: Column) -> tuple[Column, Column]:
-    """The word of an id in the filter, and its four bits there."""
-    h = F.xxhash64(file_id)
-    bits = [F.lit(1).cast("bigint") for _ in range(4)]
-    mask = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int")) for one, at in zip(bits, (24, 34, 44, 54), strict=True)]
-    return F.pmod(h, F.lit(WORDS)).cast("int"), mask[0].bitwiseOR(mask[1]).bitwiseOR(mask[2]).bitwiseOR(mask[3])
-
-
 def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that are listed once for certain, and the others, made distinct."""
-    word, mask = _place(F.col("file_id"))
-    twice = rows.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.count("*").alias("c")).filter("c > 1")
-    # at most WORDS rows of two numbers, whatever the data are
-    held = cut(twice.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")))
-    marked = rows.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(held), "_word", "left")
-    again = F.col("file_id").isNull() | F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    names = ["file_id", "path", "content"]
-    return marked.filter(~again).select(*names), marked.filter(again).select(*names).dropDuplicates(names)
+    """Rows that are listed once for certain, and the others, made distinct; rows without an id are among these."""
+    once, again = told_apart(rows, "file_id")
+    return once.filter("file_id IS NOT NULL"), again.unionByName(rows.filter("file_id IS NULL")).dropDuplicates(["file_id", "path", "content"])
 
 
 def pack_files(files: DataFrame, file_id: str = "file_id", path: str = "path", content: str = "content", target_bytes: int = 8 << 20, header_lines: int = 0) -> DataFrame:

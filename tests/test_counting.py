@@ -120,3 +120,37 @@ def test_penalty_names(spark):
     with pytest.raises(ValueError):
         Scores(None, "what")
     assert duckdb.sql("select lgamma(0.5)").fetchall()[0][0] == pytest.approx(math.lgamma(0.5))
+
+
+def test_row_log_probability_is_one_projection(spark, monkeypatch):
+    x, cards = mixed()
+    t = tally(spark, x, cards)
+    fams = [Family(0), Family(1, (0,)), Family(2, (0, 3)), Family(3), Family(4, (1,)), Family(5)]
+    tables = C.cpds(t, fams, 1.0)
+    got = C.row_log_probability(t.df, t, fams, tables)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == t.df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    p = {(r["var"], r.pcfg, r.state): r.p for r in tables.collect()}
+    want = {}
+    for r in t.df.collect():
+        v = [r[f"x{i}"] for i in range(6)]
+        want[tuple(v)] = sum(math.log(p[f.var, v[f.parents[0]] + (cards[f.parents[0]] * v[f.parents[1]] if len(f.parents) > 1 else 0) if f.parents else 0, v[f.var]]) for f in fams)
+    for written in (20_000, 0):
+        monkeypatch.setattr(C, "MOST_WRITTEN", written)
+        rows = C.row_log_probability(t.df, t, fams, tables).collect()
+        assert len(rows) == len(want) and all(r.logp == pytest.approx(want[tuple(r[f"x{i}"] for i in range(6))]) for r in rows)
+    part = C.row_log_probability(t.df, t, fams, tables.filter("var > 0"), floor=1e-3).collect()
+    assert all(r.logp < want[tuple(r[f"x{i}"] for i in range(6))] for r in part)
+
+
+def test_each_once_at_any_share_of_repeats(spark):
+    from tallygrid.cluster import each_once
+
+    rows = [(i % 50, i % 7) for i in range(400)] + [(1000 + i, i) for i in range(300)] + [(7, 0)] * 300 + [(None, 3), (None, 3), (60, None), (60, 4)]
+    got = sorted(((r.k, r.v) for r in each_once(spark.createDataFrame(rows, "k int, v int").repartition(5), "k", ["v"]).collect()), key=str)
+    first = {}
+    for k, v in rows:
+        if k is not None:
+            first.setdefault(k, []).append(v)
+    want = [(k, None if None in vs else min(vs)) for k, vs in first.items()] + [(None, 3), (None, 3)]
+    assert got == sorted(want, key=str)
+    assert each_once(spark.createDataFrame([], "k int, v int"), "k", ["v"]).count() == 0

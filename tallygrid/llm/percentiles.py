@@ -4,7 +4,8 @@ A sketch is a stack of compactors. A full one sorts its values and sends every o
 double weight, to the compactor above; how far the compaction reaches towards the protected tail follows the trailing
 ones of a counter, so values near that tail are hardly ever merged (Cormode, Karnin, Liberty, Thaler and Vesely, 2021).
 At rank fraction q of n values the standard error of the rank is at most ``min(0.084, 0.13 * distance to the protected
-end) / k * n``. Sketches of partitions, days or files are merged level by level, with the same error.
+end) / k * n``. Sketches of partitions, days or files are merged level by level, with the same error. A group that
+doesn't fill one compactor travels as its bare values, without the head that a sketch has.
 
 Edge cases, as tested: nulls and NaN are no values; infinite values are; a sketch that never compacted is exact; empty
 groups and tables give no row; -0 counts as 0; ties are kept as they are.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ FIXED_ERROR, RELATIVE_ERROR = 0.084, 0.13
 #: Where a bracket stands for a certain one: so many standard errors.
 SURE = 6.0
 FIRST_SECTIONS, LEAST_SECTION = 3, 4
+HEAD, MARK = struct.Struct("<4siqi"), b"req1"
+#: Rows that are grouped at a time, and bytes or groups held before what is there is sent on.
+ROWS_AT_ONCE, MOST_HELD, MOST_GROUPS = 1 << 18, 64 << 20, 200_000
 #: Brackets up to this number, about 10 MB, are broadcast.
 MOST_SENT = 100_000
 
@@ -128,16 +133,21 @@ class Sketch:
         return min(FIXED_ERROR * self.n, RELATIVE_ERROR * (self.n - rank + 1)) / self.k
 
     def dumps(self) -> bytes:
-        out = [struct.pack("<iqi", self.k, self.n, len(self.levels))]
+        out = [HEAD.pack(MARK, self.k, self.n, len(self.levels))]
         for x in self.levels:
             v = np.concatenate([*x.values, np.empty(0)])
             out += [struct.pack("<diqi", x.width, x.sections, x.state, len(v)), v.astype("<f8").tobytes()]
         return b"".join(out)
 
     @classmethod
-    def loads(cls, data: bytes, seed: int = 0) -> "Sketch":
-        k, n, levels = struct.unpack_from("<iqi", data)
-        at, s = struct.calcsize("<iqi"), cls(k, seed)
+    def loads(cls, data: bytes, seed: int = 0, k: int = 64) -> "Sketch":
+        """From its dump, or from bare values, which are told by their length: a dump's isn't a multiple of eight."""
+        if len(data) % 8 == 0:
+            s = cls(k, seed)
+            s.update(np.frombuffer(data, "<f8"))
+            return s
+        _, k, n, levels = HEAD.unpack_from(data)
+        at, s = HEAD.size, cls(k, seed)
         s.n, s.levels = n, []
         for _ in range(levels):
             c = Compactor(k)
@@ -149,65 +159,170 @@ class Sketch:
         return s
 
 
+def joined(pieces: list[bytes], k: int, seed: int) -> bytes:
+    """One piece from several, bare while it doesn't fill a compactor."""
+    bare = b"".join(x for x in pieces if len(x) % 8 == 0)
+    dumped = [x for x in pieces if len(x) % 8]
+    if not dumped and len(bare) < 8 * Compactor(k).capacity:
+        return bare
+    one = Sketch(k, seed)
+    one.update(np.frombuffer(bare, "<f8"))
+    for x in dumped:
+        one.merge(Sketch.loads(x))
+    return one.dumps()
+
+
+def size_of(piece: bytes) -> int:
+    """The number of values that a piece stands for."""
+    return HEAD.unpack_from(piece)[2] if len(piece) % 8 else len(piece) // 8
+
+
 def target_rank(n: int, p: float) -> int:
     """Rank, from 1, of the smallest value with at least p percent of n values at or below it."""
     return max(1, -(-int(p) * n // 100) if float(p).is_integer() else math.ceil(p * n / 100))
 
 
-def sketches(df: DataFrame, groups: dict[str, Column], metrics: dict[str, Column], k: int = 64) -> DataFrame:
-    """The group columns, ``metric``, ``n`` and ``sketch``, one row for each group and metric.
+class _Held:
+    """Pieces by group, sent on when they are many or large."""
 
-    Sketches are made in every partition of the input, so values don't move; they are merged in two steps, so that
-    no task holds more than a bounded number of them, whatever the number of partitions.
-    """
+    def __init__(self, names: list[str], k: int, seed: int) -> None:
+        self.names, self.k, self.seed = names, k, seed
+        self.pieces: dict[tuple, list[bytes]] = {}
+        self.bytes = 0
+
+    def add(self, key: tuple, piece: bytes) -> None:
+        own = self.pieces.setdefault(key, [])
+        own.append(piece)
+        self.bytes += len(piece)
+        if len(own) >= 64:  # many pieces of one group become one, so a hot group stays small
+            self.bytes -= sum(map(len, own))
+            own[:] = [joined(own, self.k, self.seed)]
+            self.bytes += len(own[0])
+
+    @property
+    def full(self) -> bool:
+        return self.bytes > MOST_HELD or len(self.pieces) > MOST_GROUPS
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.pieces:
+            columns = list(zip(*self.pieces, strict=True))
+            data = [x[0] if len(x) == 1 else joined(x, self.k, self.seed) for x in self.pieces.values()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array([size_of(x) for x in data], pa.int64()), pa.array(data, pa.binary())], names=[*self.names, "metric", "n", "sketch"])
+        self.pieces, self.bytes = {}, 0
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join([*[f"`{n}` string" for n in names], "metric string", "n bigint", "sketch binary"])
+
+
+def partial(df: DataFrame, groups: dict[str, Column], metrics: dict[str, Column], k: int = 64) -> DataFrame:
+    """The group columns, ``metric, n, sketch``: at least one row for each group and metric of every partition. Narrow."""
     names, listed = list(groups), list(metrics)
-    keys = ", ".join(f"`{n}` string" for n in names)
-    flat = df.select(*[c.cast("string").alias(n) for n, c in groups.items()], *[c.cast("double").alias(f"m{i}") for i, c in enumerate(metrics.values())])
+    flat = df.select(*[c.cast("string").alias(f"g{i}") for i, c in enumerate(groups.values())], *[c.cast("double").alias(f"m{i}") for i, c in enumerate(metrics.values())])
+    capacity = Compactor(k).capacity
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, have = TaskContext.get().partitionId(), {}
-        for frame in frames:
-            for key, at in frame.groupby(names, dropna=False, sort=False).indices.items():
-                key = tuple(None if x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                for i, m in enumerate(listed):
-                    values = frame[f"m{i}"].to_numpy()[at]
-                    values = values[~np.isnan(values)] + 0.0
-                    if len(values):
-                        if (key, m) not in have:
-                            have[key, m] = Sketch(k, part)
-                        have[key, m].update(values)
-        yield pd.DataFrame([(*key, m, part, s.dumps()) for (key, m), s in have.items()], columns=[*names, "metric", "part", "sketch"])
-
-    partial = flat.mapInPandas(build, f"{keys}, metric string, part int, sketch binary")
-    return merged(merged(partial.withColumn("part", F.col("part") % 256), names, by_part=True), names)
-
-
-def merged(parts: DataFrame, names: list[str], by_part: bool = False) -> DataFrame:
-    """Sketches of days, files or partitions into one for each group and metric."""
-    keys = [*names, "metric", *["part"] * by_part]
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, one = None, None
-        for frame in frames:
-            rows = []
-            for *now, data in frame[[*keys, "sketch"]].astype(object).itertuples(index=False, name=None):
-                now = tuple(None if x != x else x for x in now)
-                if one is not None and now == key:
-                    one.merge(Sketch.loads(data))
+        large = _Held(names, k, TaskContext.get().partitionId())
+
+        def grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            code, words = np.zeros(len(table), dtype=np.int64), []
+            for i in range(len(names)):
+                one = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode")
+                one = one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one
+                words.append(one.dictionary)
+                code = code * max(1, len(one.dictionary)) + one.indices.to_numpy(zero_copy_only=False)
+                code = np.unique(code, return_inverse=True)[1] if i + 1 < len(names) and code.max(initial=0) > 1 << 40 else code
+            for m, metric in enumerate(listed):
+                values = table.column(f"m{m}").to_numpy()
+                ok = np.flatnonzero(~np.isnan(values))
+                if not len(ok):
                     continue
-                if one is not None:
-                    rows.append((*key, one.n, one.dumps()))
-                key, one = now, Sketch.loads(data, len(rows))
-            yield pd.DataFrame(rows, columns=[*keys, "n", "sketch"])
-        if one is not None:
-            yield pd.DataFrame([(*key, one.n, one.dumps())], columns=[*keys, "n", "sketch"])
-
-    schema = ", ".join([*[f"`{n}` string" for n in names], "metric string", *["part int"] * by_part, "n bigint", "sketch binary"])
+                at = ok[np.argsort(code[ok], kind="stable")]
+                starts = np.flatnonzero(np.r_[True, np.diff(code[at]) != 0])
+                sizes = np.diff(np.r_[starts, len(at)])
+                ordered, row = values[at] + 0.0, at[starts]
+                small = sizes < capacity
+                for j in np.flatnonzero(~small):
+                    key = tuple(table.column(i)[int(row[j])].as_py() for i in range(len(names)))
+                    one = Sketch(k, large.seed)
+                    one.update(ordered[starts[j] : starts[j] + sizes[j]])
+                    large.add((*key, metric), one.dumps())
+                if small.any():
+                    kept = np.repeat(small, sizes)
+                    ends = np.r_[0, np.cumsum(sizes[small])].astype(np.int32) * 8
+                    data = pa.Array.from_buffers(pa.binary(), int(small.sum()), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(ordered[kept], dtype="<f8").tobytes())])
+                    keys = [table.column(i).take(pa.array(row[small])).combine_chunks() for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([metric] * int(small.sum()), pa.string()), pa.array(sizes[small], pa.int64()), data], names=[*names, "metric", "n", "sketch"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS_AT_ONCE:
+                yield from grouped(held)
+                held, rows = [], 0
+                if large.full:
+                    yield from large.send()
+        if held:
+            yield from grouped(held)
+        yield from large.send()
+
+    return flat.mapInArrow(build, _schema(names))
+
+
+def sketches(df: DataFrame, groups: dict[str, Column], metrics: dict[str, Column], k: int = 64, salts: int = 1) -> DataFrame:
+    """The group columns, ``metric``, ``n`` and ``sketch``, one row for each group and metric; values don't move."""
+    return merged(partial(df, groups, metrics, k), list(groups), k, salts)
+
+
+def merged(parts: DataFrame, names: list[str], k: int = 64, salts: int = 1) -> DataFrame:
+    """Sketches of days, files or partitions into one for each group and metric.
+
+    They are combined within each task, then shuffled and merged one after the other, so a task holds one sketch at a
+    time. With ``salts`` above 1 (for inputs of very many tasks) partitions are merged in so many bundles first.
+    """
+    keys = [*names, "metric"]
     columns = [F.col(f"`{c}`") for c in keys]
-    together = parts.select(*columns, "sketch").repartition(*columns).sortWithinPartitions(*columns, "sketch")
-    return together.mapInPandas(merge, schema)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = _Held(names, k, TaskContext.get().partitionId())
+        for batch in batches:
+            for *key, data in zip(*(batch.column(c).to_pylist() for c in range(len(keys))), batch.column(len(keys)).to_pylist(), strict=True):
+                held.add(tuple(key), data)
+            if held.full:
+                yield from held.send()
+        yield from held.send()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces, done = None, [], _Held(names, k, 0)
+        for batch in batches:
+            for *key, data in zip(*(batch.column(c).to_pylist() for c in range(len(keys))), batch.column(len(keys)).to_pylist(), strict=True):
+                if key != now:
+                    if pieces:
+                        done.add(tuple(now), joined(pieces, k, len(done.pieces)))
+                        if done.full:
+                            yield from done.send()
+                    now, pieces = key, []
+                pieces.append(data)
+                if len(pieces) >= 64:
+                    pieces = [joined(pieces, k, len(done.pieces))]
+        if pieces:
+            done.add(tuple(now), joined(pieces, k, len(done.pieces)))
+        yield from done.send()
+
+    def brought_together(df: DataFrame, *more: Column) -> DataFrame:
+        return df.repartition(*columns, *more).sortWithinPartitions(*columns, "sketch").select(*columns, "sketch").mapInArrow(merge, _schema(names))
+
+    combined = parts.select(*columns, "sketch").mapInArrow(combine, _schema(names))
+    if salts > 1:
+        # whatever lies in a partition goes to one bundle of the group
+        combined = brought_together(combined.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(salts))), F.col("_part"))
+    return brought_together(combined)
 
 
 def percentiles(sketched: DataFrame, names: list[str], ps: dict[str, list[float]]) -> DataFrame:
@@ -217,18 +332,19 @@ def percentiles(sketched: DataFrame, names: list[str], ps: dict[str, list[float]
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # names may be no identifiers, so fields go by place
         for frame in frames:
             rows = []
-            for row in frame.itertuples(index=False):
-                s = Sketch.loads(row.sketch)
+            for *key, metric, sketch in frame.itertuples(index=False, name=None):
+                s = Sketch.loads(sketch)
                 values, up_to = s.weighted()
                 at = lambda r, v=values, u=up_to: float(v[min(len(v) - 1, np.searchsorted(u, r))])
-                for p in ps.get(row.metric, []):
+                for p in ps.get(metric, []):
                     r = target_rank(s.n, p)
                     e = SURE * s.error(r)
                     low = at(r - e) if r - e > 1 or not e else -math.inf
                     high = at(r + e) if r + e < s.n or not e else math.inf
-                    rows.append((*[getattr(row, n) if n.isidentifier() else row[i] for i, n in enumerate(names)], row.metric, float(p), s.n, r, at(r), low, high))
+                    rows.append((*key, metric, float(p), s.n, r, at(r), low, high))
             yield pd.DataFrame(rows, columns=[*names, "metric", "p", "n", "target", "value", "low", "high"])
 
     keys = ", ".join(f"`{n}` string" for n in names)

@@ -52,10 +52,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Estimates with their brackets, from sketches made for each day and then combined."""
+    """Estimates with their brackets, from sketches made for each day of each partition and then combined."""
     once = each_once(table(spark, d, "eda_cluster_results"), "run_id", ["group", "algorithm", "time", "test_sp", "finished_at"])
     groups = {"size_group": label("group"), "algorithm": label("algorithm"), "day": F.to_date("finished_at")}
-    days = percentiles.sketches(once, groups, {m: F.col(m) for m in ASKED})
+    days = percentiles.partial(once, groups, {m: F.col(m) for m in ASKED})
     return percentiles.percentiles(percentiles.merged(days, CELL), CELL, {m: [10.0, 50.0, 90.0, 95.0, 99.0, 99.9] for m in ASKED})
 
 

@@ -39,8 +39,8 @@ def test_pair_counts_equal_brute_force(spark):
     baskets = [([rng.choice(names[: 3 if rng.random() < 0.5 else 300]) for _ in range(rng.randrange(12))], rng.randrange(4)) for _ in range(700)]
     baskets += [(None, 2), ([], 1), ([None, "i1", "i1"], 3), ([f"i{k}" for k in range(250)], 1)]
     df = spark.createDataFrame(baskets, "items array<string>, w int").withColumn("n", F.lit(1)).repartition(3)
-    for block, record_block in ((512, 50_000), (7, 90)):
-        got = {(r.item_a, r.item_b): r.n for r in together.pair_counts(df, "items", "w", block, record_block).collect()}
+    for block, entries in ((512, 1 << 21), (7, 90)):
+        got = {(r.item_a, r.item_b): r.n for r in together.pair_counts(df, "items", "w", block, entries).collect()}
         assert got.pop((None, None)) == sum(w for _, w in baskets)
         assert got == brute(baskets)
     plain = {(r.item_a, r.item_b): r.n for r in together.pair_counts(df, "items").collect()}
@@ -58,3 +58,25 @@ def test_gram_of_one_block():
     record, item = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 0, 1])
     cells = {(i, j): n for a, b, c in together.gram(record, item, np.array([1.0, 1.0, 2.0]), 2, 1) for i, j, n in zip(a, b, c, strict=True)}
     assert cells == {(0, 0): 4.0, (0, 1): 3.0, (1, 1): 3.0}
+
+
+def test_slices_of_the_products(monkeypatch):
+    """However small the slices are, the cells are the same; a long record of rare items is cut too."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((120, 60)) < np.linspace(0.5, 0.02, 60)).astype(int)
+    x[3] = 1
+    w = rng.integers(0, 4, 120).astype(float)
+    record, item = np.nonzero(x)
+    want = np.triu(x.T @ (x * w[:, None]))
+    for block, rows, meetings in ((60, 7, 5), (4, 7, 5), (1, 1000, 1000), (9, 16, 3)):
+        monkeypatch.setattr(together, "DENSE_ROWS", rows)
+        monkeypatch.setattr(together, "MEETINGS", meetings)
+        got = np.zeros((60, 60))
+        for i, j, n in together.gram(record, item, w, 60, block):
+            np.add.at(got, (i, j), n)
+        assert (got == want).all()
+
+
+def test_support(spark):
+    df = spark.createDataFrame([(["a", "b"],)] * 3 + [(["a", "c"],)], "items array<string>")
+    assert [(r.item_a, r.item_b, r.n_a) for r in together.associations(df, least=2).collect()] == [("a", "b", 4)]

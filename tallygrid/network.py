@@ -30,7 +30,7 @@ class Options:
     k: int = 2
     trees: int = 20
     rounds: int = 10
-    target: np.ndarray | None = None
+    target: np.ndarray | str | None = None
     measure: str = "mi"
     sparsity: float = 0.01
     max_condition: int | None = None

@@ -67,7 +67,7 @@ def _directed_by_order(p: Problem, skeleton: np.ndarray) -> np.ndarray:
 def grow_shrink(p: Problem, tests: Tests, most: int | None = 5) -> np.ndarray:
     """Blankets that grow by dependence and shrink by independence; joined where both agree; directed by the order."""
     n, blankets = p.n_vars, []
-    tests.prefetch([(u, v, ()) for u, v in combinations(range(n), 2)])
+    tests.counter.pairs()
     for target in range(n):
         blanket: set[int] = set()
         grown = True
@@ -272,7 +272,7 @@ def sheaf(p: Problem, tests: Tests) -> np.ndarray:
     """A polytree grown node by node: a new one walks along separating neighbours, and takes over those that it separates."""
     n = p.n_vars
     mi = information(p.counter)
-    tests.prefetch([(a, b, ()) for a, b in combinations(range(n), 2)])
+    tests.counter.pairs()
     tests.prefetch([(a, b, (z,)) for a, b in combinations(range(n), 2) for z in range(n) if z not in (a, b)])
     near = {v: [u for u in range(n) if p.joinable(u, v) and not tests.independent(u, v)] for v in range(n)}
     tree = np.zeros((n, n), dtype=int)

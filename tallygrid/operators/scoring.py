@@ -179,6 +179,36 @@ class Scores:
             return float(leaf_likelihood(seen, self.alpha).sum()) - {"bic": 0.5 * log(n), "aic": 1.0}.get(str(self.penalty), 0.0) * params
         return float(leaf_likelihood(rows, self.alpha).sum()) - (0.5 * log(n) if self.kind == "bic" else 1.0) * params
 
+    def added(self, var: int, parents: Sequence[int], more: Sequence[int]) -> np.ndarray:
+        """Local scores with each of ``more`` added to the parents, all in one batch."""
+        base = tuple(sorted(parents))
+        if self.kind in ("dt", "dg") or not self.counter.local:
+            self.prefetch([(var, [*base, u]) for u in more])
+            return np.array([self.local(var, [*base, u]) for u in more])
+        new = [u for u in more if (var, tuple(sorted((*base, u)))) not in self.known]
+        if new:
+            for u, score in zip(new, self._fold_all(self.counter.extensions(var, base, new)), strict=True):
+                self.known[var, tuple(sorted((*base, u)))] = score
+        return np.array([self.known[var, tuple(sorted((*base, u)))] for u in more])
+
+    def _fold_all(self, tables: list[np.ndarray]) -> list[float]:
+        """As ``_fold``: what is done cell by cell is done for all tables at once, the sums are each table's own."""
+        n, rows = self.counter.n, np.concatenate(tables)
+        k, ends, seen = rows.shape[1], np.cumsum([len(t) for t in tables]), rows.sum(axis=1) > 0
+        dirichlet = self.kind in ("k2", "k2_pen")
+        each = leaf_k2(rows, self.alpha) if dirichlet else leaf_likelihood(rows, self.alpha)
+        price = {"bic": 0.5 * log(n), "aic": 1.0, "k2": 0.0}.get(self.kind)
+        if self.kind == "k2_pen":
+            price = penalty_factor(self.penalty, n)
+        elif price is None:
+            price = {"bic": 0.5 * log(n), "aic": 1.0}.get(str(self.penalty), 0.0)
+        out = []
+        for t, end in zip(tables, ends, strict=True):
+            own = each[end - len(t) : end]
+            fit = own[seen[end - len(t) : end]] if dirichlet or self.kind == "ebna" else own
+            out.append(float(fit.sum()) - price * len(t) * (k - 1) if price else float(fit.sum()))
+        return out
+
     def total(self, adjacency: np.ndarray) -> float:
         families = [(v, tuple(np.flatnonzero(adjacency[:, v]))) for v in range(len(adjacency))]
         self.prefetch(families)

@@ -80,15 +80,14 @@ def _greedy(scores: Scores, v: int, candidates: Sequence[int], cap: int, start:
     now = scores.local(v, chosen)
     while len(chosen) < cap:
         trials = [u for u in candidates if u not in chosen and ok(u) and (not limit or scores.fits(v, [*chosen, u]))]
-        scores.prefetch([(v, [*chosen, u]) for u in trials])
-        best, pick = now, -1
-        for u in trials:
-            if (s := scores.local(v, [*chosen, u])) > best:
-                best, pick = s, u
-        if pick < 0:
+        if not trials:
             break
-        chosen.append(pick)
-        now = best
+        found = scores.added(v, chosen, trials)
+        at = int(np.argmax(found))  # the first of equals
+        if not found[at] > now:
+            break
+        chosen.append(trials[at])
+        now = float(found[at])
     return chosen
 
 
@@ -105,12 +104,9 @@ def k2_search(p: Problem, scores: Scores, order: Sequence[int] | None = None, ma
         scores.prefetch([(v, [*chosen[v], u]) for v, us in trials.items() for u in us])
         active = set()
         for v, us in trials.items():
-            best, pick = scores.local(v, chosen[v]), -1
-            for u in us:
-                if (s := scores.local(v, [*chosen[v], u])) > best:
-                    best, pick = s, u
-            if pick >= 0:
-                chosen[v].append(pick)
+            found = scores.added(v, chosen[v], us)
+            if len(us) and found.max() > scores.local(v, chosen[v]):
+                chosen[v].append(us[int(np.argmax(found))])
                 active.add(v)
     return G.adjacency_of(p.n_vars, [(u, v) for v, us in chosen.items() for u in us])
 
@@ -173,8 +169,8 @@ class _Climb:
         for v, (now, more) in trials.items():
             base = s.local(v, now)
             self.add[:, v] = self.drop[:, v] = -np.inf
-            for u in more:
-                self.add[u, v] = s.local(v, [*now, u]) - base
+            if more:
+                self.add[more, v] = s.added(v, now, more) - base
             for u in now:
                 self.drop[u, v] = s.local(v, [x for x in now if x != u]) - base
 
@@ -291,6 +287,8 @@ def rooted_vote(p: Problem, scores: Scores) -> np.ndarray:
     n = p.n_vars
     votes = np.zeros((n, n), dtype=int)
     scores.prefetch([(v, ()) for v in range(n)] + [(v, (u,)) for v in range(n) for u in range(n) if p.joinable(u, v)])
+    for v in range(n):
+        scores.added(v, (), [u for u in range(n) if p.joinable(u, v) and scores.fits(v, [u])])
     for root in range(n):
         local = np.zeros((n, n), dtype=int)
         for v in [root, *[x for x in range(n) if x != root]]:
@@ -361,6 +359,9 @@ def _sub_scores(scores: Scores, nodes: list[int]) -> "Scores":
         def local(self, var, parents) -> float:
             return scores.local(nodes[var], [nodes[u] for u in parents])
 
+        def added(self, var, parents, more) -> np.ndarray:
+            return scores.added(nodes[var], [nodes[u] for u in parents], [nodes[u] for u in more])
+
         def fits(self, var, parents) -> bool:
             return scores.fits(nodes[var], [nodes[u] for u in parents])
 
@@ -525,7 +526,7 @@ def variable_clusters(c: Counter, alpha: float = 1.0, stop: float = 0.0, most_ce
 def information(c: Counter, bits: bool = False) -> np.ndarray:
     """Pairwise mutual information, all pairs in one batch."""
     n = c.n_vars
-    c.prefetch(list(combinations(range(n), 2)))
+    c.pairs()
     out = np.zeros((n, n))
     for i, j in combinations(range(n), 2):
         t = c.table((i, j))

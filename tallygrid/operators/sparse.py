@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tallygrid.cluster import cut
 from tallygrid.functions.special import expm
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
+from tallygrid.operators.counting import Tally
 from tallygrid.operators.search import Problem
 
 
@@ -81,9 +85,33 @@ def order_lasso(p: Problem, penalty: float = 0.05, tolerance: float = 1e-3) -> n
     return a
 
 
-def _require_local(c: Counter, what: str) -> None:
-    if not c.local:
-        raise ValueError(f"{what} works on compressed configurations; there are too many distinct ones here, so choose fewer variables or a raised limit")
+def over_configurations(c: Counter, part, size: int) -> np.ndarray:
+    """The sum of ``part(states, weights)``, a vector of ``size`` numbers, over all configurations.
+
+    In memory if they are held there, else in one pass of Spark, summed within each task and by place between tasks; so
+    what a fit needs of the data is an aggregate for each step, whatever the number of configurations.
+    """
+    if c.local:
+        return part(c.x, c.w)
+    names, scale = [f"x{i}" for i in range(c.n_vars)], c.scale
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            x = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))])
+            out += part(x, batch.column(len(names)).to_numpy(zero_copy_only=False) * scale)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "v": pa.array(out[at], pa.float64())})
+
+    got = c.tally.df.select(*names, F.col("w").cast("double")).mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(size)
+    out[got["i"].to_numpy(dtype=np.int64)] = got["v"]
+    return out
+
+
+def indicators(x: np.ndarray, cards: Sequence[int], first: int) -> np.ndarray:
+    """Columns that are 1 where a variable has the state, for states from ``first`` on."""
+    return np.hstack([(x[:, [v]] == np.arange(first, k)).astype(float) for v, k in enumerate(cards)])
 
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, l1: float, l2: float, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -111,23 +139,62 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, l1: f
     return b[0], b[1:]
 
 
-def elastic_mask(c: Counter, ratio: float = 0.5, strength: float = 0.5) -> np.ndarray:
-    """Pairs in which one enters the other's elastic-net regression on all variables."""
-    _require_local(c, "the elastic-net mask")
-    n, spans = c.n_vars, indicator_spans(c.cards)
-    design = np.hstack([(c.x[:, [v]] == np.arange(1, k)).astype(float) for v, k in enumerate(c.cards)])
+def elastic_mask(c: Counter, ratio: float = 0.5, strength: float = 0.5, rounds: int = 300) -> np.ndarray:
+    """Pairs in which one enters the other's elastic-net regression on all variables.
+
+    The multinomial fits of all variables take their accelerated proximal steps together, so a step is one aggregate.
+    """
+    n, cards, spans = c.n_vars, c.cards, indicator_spans(c.cards)
+    ends = np.cumsum([0, *cards])
+    rows, columns = 1 + int(sum(k - 1 for k in cards)), int(ends[-1])
+    blocks = [slice(int(ends[v]), int(ends[v + 1])) for v in range(n)]
+    # sums of products of the design's columns give the length of each variable's steps
+    g = gram(c) + c.n * np.outer(*[np.concatenate([c.table((v,))[1:] for v in range(n)]) / c.n] * 2)
+    means = np.concatenate([c.table((v,))[1:] for v in range(n)])
+    whole = np.block([[np.array([[c.n]]), means[None]], [means[:, None], g]]) / c.n
+    total = c.n
+    scale = 1 / (strength * total)
+    l1, l2 = ratio * scale, (1 - ratio) * scale
+    open_ = np.ones((rows, columns), dtype=bool)
+    step = np.empty(n)
+    for v in range(n):
+        open_[1 + spans[v], blocks[v]] = False
+        keep = np.setdiff1d(np.arange(rows), 1 + spans[v])
+        step[v] = 1 / (0.5 * np.linalg.eigvalsh(whole[np.ix_(keep, keep)])[-1] + l2)
+    active = [v for v in range(n) if (c.table((v,)) > 0).sum() > 1]
+    b, point, momentum = np.zeros((rows, columns)), np.zeros((rows, columns)), 1.0
+    for _ in range(rounds):
+        if not active:
+            break
+        at = point.copy()
+
+        def part(x: np.ndarray, w: np.ndarray, at=at) -> np.ndarray:
+            design = np.hstack([np.ones((len(x), 1)), indicators(x, cards, 1)])
+            resid = design @ at
+            for v in range(n):
+                q = np.exp(resid[:, blocks[v]] - resid[:, blocks[v]].max(axis=1, keepdims=True))
+                resid[:, blocks[v]] = q / q.sum(axis=1, keepdims=True)
+            return (design.T @ ((resid - indicators(x, cards, 0)) * w[:, None])).ravel()
+
+        gradient = over_configurations(c, part, rows * columns).reshape(rows, columns) / total
+        gradient[1:] += l2 * point[1:]
+        following, still = (1 + (1 + 4 * momentum**2) ** 0.5) / 2, []
+        for v in active:
+            on = blocks[v]
+            new = point[:, on] - step[v] * gradient[:, on]
+            new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step[v] * l1, 0)
+            new *= open_[:, on]
+            point[:, on] = new + (momentum - 1) / following * (new - b[:, on])
+            if np.abs(new - b[:, on]).max() >= 1e-7:
+                still.append(v)
+            b[:, on] = new
+        active, momentum = still, following
     out = np.zeros((n, n), dtype=int)
     for v in range(n):
-        if len(np.unique(c.x[:, v])) < 2:
-            continue
-        keep = np.concatenate([spans[u] for u in range(n) if u != v])
-        scale = 1 / (strength * c.w.sum())
-        _, b = softmax_fit(design[:, keep], c.x[:, v], c.w, c.cards[v], ratio * scale, (1 - ratio) * scale)
-        size, at = np.abs(b).sum(axis=1), 0
-        for u in [u for u in range(n) if u != v]:
-            if size[at : at + len(spans[u])].sum() > 1e-8:
+        size = np.abs(b[1:, blocks[v]]).sum(axis=1)
+        for u in range(n):
+            if u != v and size[spans[u]].sum() > 1e-8:
                 out[u, v] = out[v, u] = 1
-            at += len(spans[u])
     return out
 
 
@@ -213,11 +280,9 @@ def notears(p: Problem, sparsity: float = 0.01, threshold: float = 0.3, rounds:
     """
     if any(k != 2 for k in p.cards):
         raise ValueError("all variables must be binary")
-    c = p.counter
-    _require_local(c, "this learner")
-    n, x, w = p.n_vars, c.x.astype(float), c.w / c.w.sum()
+    c, n = p.counter, p.n_vars
     open_ = np.array([[p.joinable(u, v) for v in range(n)] for u in range(n)])
-    mean = w @ x
+    mean = np.array([c.table((v,))[1] for v in range(n)]) / c.n
 
     def unpack(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (z[: n * n] - z[n * n : 2 * n * n]).reshape(n, n), z[2 * n * n : 2 * n * n + n] - z[2 * n * n + n :]
@@ -226,15 +291,23 @@ def notears(p: Problem, sparsity: float = 0.01, threshold: float = 0.3, rounds:
     def objective(z: np.ndarray, rho: float, alpha: float) -> tuple[float, np.ndarray]:
         weights, bias = unpack(z)
         weights = weights * open_
-        logits = x @ weights + bias
-        loss = float((w[:, None] * (np.logaddexp(0, logits) - x * logits)).sum())
-        resid = w[:, None] * (1 / (1 + np.exp(-logits)) - x)
+
+        def part(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = x.astype(float)
+                logits = x @ weights + bias
+                loss = (w[:, None] * (np.logaddexp(0, logits) - x * logits)).sum()
+                resid = w[:, None] * (1 / (1 + np.exp(-logits)) - x)
+                return np.concatenate([[loss], (x.T @ resid).ravel(), resid.sum(axis=0)])
+
+        sums = over_configurations(c, part, 1 + n * n + n) / c.n
+        loss, slopes, level = float(sums[0]), sums[1 : 1 + n * n].reshape(n, n), sums[1 + n * n :]
         e = expm(weights * weights)
         h = float(np.trace(e)) - n
-        slope = (x.T @ resid + (rho * h + alpha) * e.T * 2 * weights) * open_
+        slope = (slopes + (rho * h + alpha) * e.T * 2 * weights) * open_
         flat = slope.ravel()
         value = loss + 0.5 * rho * h * h + alpha * h + sparsity * float(z[: 2 * n * n].sum())
-        return value, np.concatenate([flat + sparsity, -flat + sparsity, resid.sum(axis=0), -resid.sum(axis=0)])
+        return value, np.concatenate([flat + sparsity, -flat + sparsity, level, -level])
 
     z = np.zeros(2 * n * n + 2 * n)
     start = np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6)))
@@ -259,48 +332,116 @@ def notears(p: Problem, sparsity: float = 0.01, threshold: float = 0.3, rounds:
     return (size > 0).astype(int)
 
 
-def target_importance(c: Counter, measure: str, target: np.ndarray) -> np.ndarray:
+Target = np.ndarray | str | None
+
+
+def _values(c: Counter, target: np.ndarray | str) -> np.ndarray | None:
+    """The target of each configuration that is held in memory: an array, or a column of the tally."""
+    if not c.local:
+        if not isinstance(target, str):
+            raise ValueError("name the column of the tally that holds the target: the configurations aren't in memory")
+        return None
+    return np.asarray(c.more[target] if isinstance(target, str) else target, dtype=float)
+
+
+def _varies(c: Counter, target: Target) -> bool:
+    if target is None:
+        return False
+    values = _values(c, target)
+    if values is not None:
+        return bool(np.ptp(values) > 0)
+    low, high = c.tally.df.agg(F.min(target), F.max(target)).first()
+    return low is not None and low < high
+
+
+def _moments(c: Counter, target: np.ndarray | str) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of products of (1, indicators of states above 0, target), and of (1, states, target)."""
+    n, cards = c.n_vars, c.cards
+    y = _values(c, target)
+    first, second = 2 + sum(k - 1 for k in cards), 2 + n
+
+    def part(x: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+        made = []
+        for middle in (indicators(x, cards, 1), x):
+            z = np.hstack([np.ones((len(x), 1)), middle, y[:, None]])
+            made.append((z.T @ (z * w[:, None])).ravel())
+        return np.concatenate(made)
+
+    size = first * first + second * second
+    sums = part(c.x, c.w, y) if y is not None else over_configurations(_with(c, target), lambda x, w: part(x[:, :n].astype(np.int64), w, x[:, n]), size)
+    return sums[: first * first].reshape(first, first), sums[first * first :].reshape(second, second)
+
+
+class _with:
+    """A counter's configurations with one more column, as numbers."""
+
+    def __init__(self, c: Counter, column: str) -> None:
+        self.c, self.column = c, column
+        self.local, self.scale, self.n_vars = False, c.scale, c.n_vars + 1
+        names = [F.col(f"x{i}").cast("double").alias(f"x{i}") for i in range(c.n_vars)]
+        self.tally = Tally(c.tally.df.select(*names, F.col(f"`{column}`").cast("double").alias(f"x{c.n_vars}"), "w"), (*c.cards, 2))
+
+
+def _bins(c: Counter, target: np.ndarray | str, bins: int = 10) -> list[np.ndarray]:
+    """For each variable its weight by state and by bin of the target; bins hold equal weights, equal values share one."""
+    if c.local:
+        y = _values(c, target)
+        values, place = np.unique(y, return_inverse=True)
+        up = np.cumsum(np.bincount(place, c.w)) / c.w.sum()
+        bin_ = np.minimum((up * bins - 1e-9).astype(int), bins - 1)[place]
+        return [np.bincount(c.x[:, v] * bins + bin_, c.w, minlength=k * bins).reshape(k, bins) for v, k in enumerate(c.cards)]
+    from tallygrid.operators.ordered import running
+
+    y = F.col(f"`{target}`").cast("double")
+    counts = running(c.tally.df.groupBy(y.alias("y")).agg(F.sum("w").alias("w")).withColumn("_all", F.lit(0)), ["_all"], "y", "w", "up")
+    total = c.n / c.scale
+    placed = cut(counts.select("y", F.least(F.floor(F.col("up") / total * bins - 1e-9), F.lit(bins - 1)).cast("int").alias("bin")))
+    rows = c.tally.df.withColumn("y", y).join(placed, "y")
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"x{v}").alias("s")) for v in range(c.n_vars)])).alias("r"), "bin", "w").groupBy("r.v", "r.s", "bin").agg(F.sum("w").alias("w")).collect()
+    out = [np.zeros((k, bins)) for k in c.cards]
+    for r in cells:
+        out[r["v"]][r["s"], r["bin"]] = r["w"] * c.scale
+    return out
+
+
+def target_importance(c: Counter, measure: str, target: np.ndarray | str) -> np.ndarray:
     """How much each variable tells of a value per configuration: ``corr`` |r|, ``f`` the F of a line, ``mi`` binned information.
 
-    The value is binned by weighted quantiles for ``mi``, in place of a nearest-neighbour estimate.
+    The value is binned by weighted quantiles for ``mi``, in place of a nearest-neighbour estimate. ``target`` is an array
+    over the configurations in memory, or a column of the tally, which may then be of any size.
     """
-    _require_local(c, "feature importance")
-    w = c.w / c.w.sum()
-    t = target - w @ target
     out = np.zeros(c.n_vars)
     if measure == "mi":
-        order = np.argsort(target, kind="stable")
-        bins = np.empty(len(target), dtype=int)
-        bins[order] = np.minimum((np.cumsum(w[order]) * 10).astype(int), 9)
-        for v, k in enumerate(c.cards):
-            t2 = np.bincount(c.x[:, v] * 10 + bins, w, minlength=k * 10).reshape(k, 10)
+        for v, t2 in enumerate(_bins(c, target)):
+            t2 = t2 / t2.sum()
             e, on = t2.sum(axis=1, keepdims=True) * t2.sum(axis=0, keepdims=True), t2 > 0
             out[v] = (t2[on] * np.log(t2[on] / e[on])).sum()
         return out
+    _, m = _moments(c, target)
+    cov = m / m[0, 0] - np.outer(m[0], m[0]) / m[0, 0] ** 2
     for v in range(c.n_vars):
-        x = c.x[:, v] - w @ c.x[:, v]
-        r = (w * x) @ t / max(((w * x) @ x * ((w * t) @ t)) ** 0.5, 1e-300)
+        r = cov[1 + v, -1] / max((cov[1 + v, 1 + v] * cov[-1, -1]) ** 0.5, 1e-300)
         out[v] = abs(r) if measure == "corr" else r * r / max(1 - r * r, 1e-12) * (c.n - 2)
     return out
 
 
-def importance_order(c: Counter, target: np.ndarray | None, measure: str = "mi", seed: int | None = 0) -> list[int]:
+def importance_order(c: Counter, target: Target, measure: str = "mi", seed: int | None = 0) -> list[int]:
     """Most important first, ties at random; without a varying target a random order."""
     rng = np.random.default_rng(seed)
-    if target is None or np.ptp(target) == 0:
+    if not _varies(c, target):
         return [int(v) for v in rng.permutation(c.n_vars)]
-    value = target_importance(c, measure, np.asarray(target, dtype=float))
+    value = target_importance(c, measure, target)
     jitter = rng.random(c.n_vars)
     return sorted(range(c.n_vars), key=lambda v: (-value[v], jitter[v]))
 
 
-def redundancy_order(c: Counter, target: np.ndarray | None, seed: int | None = 0) -> list[int]:
+def redundancy_order(c: Counter, target: Target, seed: int | None = 0) -> list[int]:
     """Relevance less mean redundancy with what is already chosen, the largest next."""
     from tallygrid.operators.search import information
 
-    if target is None or np.ptp(target) == 0:
+    if not _varies(c, target):
         return importance_order(c, None, seed=seed)
-    relevance, mi = target_importance(c, "mi", np.asarray(target, dtype=float)), information(c)
+    relevance, mi = target_importance(c, "mi", target), information(c)
     chosen: list[int] = []
     while len(chosen) < c.n_vars:
         left = [v for v in range(c.n_vars) if v not in chosen]
@@ -308,23 +449,27 @@ def redundancy_order(c: Counter, target: np.ndarray | None, seed: int | None = 0
     return chosen
 
 
-def elimination_ranking(c: Counter, target: np.ndarray | None, seed: int | None = 0) -> list[int]:
-    """Backward elimination: the variable that a linear model of indicators misses least goes first, so the last one leads."""
-    _require_local(c, "recursive elimination")
-    if target is None or np.ptp(target) == 0:
+def elimination_ranking(c: Counter, target: Target, seed: int | None = 0) -> list[int]:
+    """Backward elimination: the variable that a linear model of indicators misses least goes first, so the last one leads.
+
+    All fits are solved from one aggregate, the sums of products of indicators and target.
+    """
+    if not _varies(c, target):
         return importance_order(c, None, seed=seed)
-    root = np.sqrt(c.w)[:, None]
-    blocks = {v: (c.x[:, [v]] == np.arange(1, k)) * root for v, k in enumerate(c.cards)}
-    y = (np.asarray(target, dtype=float) * root[:, 0])[:, None]
+    m, _ = _moments(c, target)
+    m = m / m[0, 0]
+    m[:, -1] -= m[0, -1] * m[:, 0]  # the target about its mean
+    m[-1] -= m[-1, 0] * m[0]
+    spans = indicator_spans(c.cards)
     left, gone = list(range(c.n_vars)), []
 
     def loss(vs: list[int]) -> float:
-        design = np.hstack([root, *[blocks[v] for v in vs]])
-        fit, *_ = np.linalg.lstsq(design, y, rcond=None)
-        return float(((y - design @ fit) ** 2).sum())
+        on = np.concatenate([[0], *[1 + spans[v] for v in vs]]).astype(int)
+        fit, *_ = np.linalg.lstsq(m[np.ix_(on, on)], m[on, -1], rcond=1e-10)
+        return float(m[-1, -1] - fit @ m[on, -1])
 
     while len(left) > 1:
-        out = min(left, key=lambda v: (loss([u for u in left if u != v]), -v))
+        out = min(left, key=lambda v: (round(loss([u for u in left if u != v]) / max(m[-1, -1], 1e-300), 12), -v))
         left.remove(out)
         gone.append(out)
     return [*left, *reversed(gone)]

@@ -52,13 +52,9 @@ def _learner(method: str, **options):
 
 def importance_target(spark: SparkSession, d: str, method: str, **options) -> DataFrame:
     """Ordered by importance for the mean price of each configuration."""
-    rows = X.rows(spark, d)
-    t = X.tally(spark, d)
-    c = Counter(t)
-    price = rows.groupBy(*[f"x{i}" for i in range(5)]).agg(F.avg("l_extendedprice").alias("y")).toPandas()
-    key = {tuple(r[:5]): r[5] for r in price.itertuples(index=False)}
-    target = np.array([key[tuple(r)] for r in c.x.tolist()])
-    net = Network(c.cards).learn_structure(c, method, target=target, **options)
+    priced = X.rows(spark, d).groupBy(*[f"x{i}" for i in range(5)]).agg(F.count("*").cast("double").alias("w"), F.avg("l_extendedprice").alias("price"))
+    c = Counter(Tally(priced, X.CARDS))
+    net = Network(c.cards).learn_structure(c, method, target="price", **options)
     return relational.edge_frame(spark, net.edges())
 
 

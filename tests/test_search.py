@@ -7,6 +7,7 @@ from tallygrid.network import ALIASES, METHODS, Network
 from tallygrid.operators import constraint, search, sparse
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
+from tallygrid.operators.counting import Tally
 from tallygrid.operators.scoring import Scores
 from tallygrid.operators.search import Problem
 
@@ -138,8 +139,49 @@ def test_both_ways_of_counting_give_one_structure(spark):
         one, two = (Network(cards).learn_structure(c, m, max_parents=2).adjacency for c in (near, far))
         assert (one == two).all(), m
     assert far.jobs < 60
+
+
+def test_fits_need_no_configurations_in_memory(spark):
+    """Masks, weights under acyclicity and importance orders are the same from aggregates as from memory."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([branching(600), rng.integers(0, 2, 600)])
+    y = np.round(2.0 * x[:, 2] + x[:, 0] * 0.5 + rng.normal(size=600) * 0.1, 1)
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    frame = pd.DataFrame(x, columns=[f"x{i}" for i in range(5)]).assign(y=y)
+    priced = spark.createDataFrame(frame).groupBy(*[f"x{i}" for i in range(5)]).agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("y"))
+    t = Tally(priced.selectExpr(*[f"CAST(x{i} AS INT) AS x{i}" for i in range(5)], "w", "y"), (2,) * 5)
+    near, far = Counter(t), Counter(t, limit=0)
+    assert near.local and not far.local
+    assert (sparse.elastic_mask(near, rounds=25) == sparse.elastic_mask(far, rounds=25)).all()
+    for measure in ("corr", "f", "mi"):
+        assert np.allclose(sparse.target_importance(near, measure, "y"), sparse.target_importance(far, measure, "y"))
+        assert np.allclose(sparse.target_importance(near, measure, near.more["y"]), sparse.target_importance(near, measure, "y"))
+    for order in (sparse.importance_order, sparse.redundancy_order, sparse.elimination_ranking):
+        assert order(near, "y") == order(far, "y")
+        assert order(near, None) == order(far, None)
+    assert sparse.elimination_ranking(near, "y")[0] == 2 == sparse.importance_order(near, "y")[0]
     with pytest.raises(ValueError):
-        sparse.elastic_mask(far)
+        sparse.importance_order(far, near.more["y"])
+    small = Counter(tally(spark, x[:, :3]))
+    away = Counter(tally(spark, x[:, :3]), limit=0)
+    assert (sparse.notears(Problem(small), rounds=1) == sparse.notears(Problem(away), rounds=1)).all()
+
+
+def test_pair_tables_at_once_and_extensions(spark):
+    x, cards = mixed(500)
+    a, b = counter(spark, x, cards), counter(spark, x, cards)
+    a.pairs()
+    for i in range(6):
+        for j in range(i + 1, 6):
+            assert (a.table((i, j)) == b.table((i, j))).all()
+    for var, parents, more in ((2, (), [0, 1, 5]), (3, (1, 4), [0, 2, 5])):
+        for u, t in zip(more, b.extensions(var, parents, more), strict=True):
+            assert (t == b.family(var, sorted((*parents, u)))).all()
+    for kind in ("bic", "aic", "k2", "k2_pen", "ebna"):
+        one, two = Scores(a, kind), Scores(b, kind)
+        assert one.added(3, (1, 4), [0, 2, 5]).tolist() == [two.local(3, (1, 4, u)) for u in (0, 2, 5)]
 
 
 def test_treewidth_is_bounded(spark):

@@ -122,6 +122,14 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Levels against grades that the fit hasn't seen (of odd documents): whether ranks agree, and better than those of the index."""
+    labels = table(spark, d, "reading_labels")
+    levels = reading.reading_levels(table(spark, d, "documents"), labels.filter("doc_id % 2 = 0"))
+    n, level, index = reading.agreement(levels, labels.filter("doc_id % 2 = 1"))
+    return spark.createDataFrame([(n, level >= 0.65, level > index)], "n_graded bigint, agrees boolean, beats_index boolean")
+
+
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents by source, language and grade."""
     graded = _levels(spark, d).select("doc_id", F.round("grade").cast("int").alias("grade"))
@@ -129,4 +137,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(graded, "doc_id").groupBy("source", "lang", "grade").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p5_found, p5_pairs, p6_found, p6_top10, p7_ids, p8_found, p8_shares, p8_chosen, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p5_found, p5_pairs, p6_found, p6_top10, p7_ids, p8_found, p8_shares, p8_chosen, p9_found, p9_levels, p9_agreement, p9_profile)}

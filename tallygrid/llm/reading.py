@@ -5,8 +5,8 @@ change with the product of level and difference of difficulty, so hard words gro
 ``P(word | t) = p * exp(b * t) / Z(t)`` within a language, with a standard normal prior on levels and a normal one on
 difficulties. Both sides are estimated in turn. Given difficulties, each document's level is found by itself, in a pass
 that also sums levels by word; given those sums and the histogram of levels, each word's difficulty is a problem in one
-variable. What goes to the driver and back has a fixed size: one number for each of ``BINS`` hashed words of each
-of at most ``LANGUAGES`` languages. All words of all documents count; words that share a bin share a difficulty.
+variable, and words are spread over tasks. What goes to the driver and back has a fixed size: one number for each of
+``BINS`` hashed words of each of at most ``LANGUAGES`` languages. All words of all documents count; words that share a bin share a difficulty.
 
 The scale is set out by word length at the start (longer is harder; in scripts without spaces, more ideographs) and brought to grades 1 to 5 by a rating-scale fit
 on graded documents: a sample of at most ``max_labels`` of them, chosen by hash.
@@ -147,7 +147,7 @@ def _emit(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def fit(feats: DataFrame, rounds: int = 6, prior: float = 1.0) -> Model:
-    """Alternating estimation over all documents; each round is one pass and one shuffle of sums."""
+    """Alternating estimation over all documents; each round is one pass, one shuffle of sums, and one task's share of the words each."""
     found = feats.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.asc_nulls_first("lang")).limit(LANGUAGES - 1).collect()
     model = Model([r["lang"] for r in found], np.zeros(0), np.zeros(0))
     n_lang = len(model.languages) + 1
@@ -178,44 +178,78 @@ def fit(feats: DataFrame, rounds: int = 6, prior: float = 1.0) -> Model:
         return z
 
     model.difficulty, model.log_z = b.ravel(), normaliser(b, share)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now = sent.value
-            sums, seen = np.zeros(n), np.zeros(n)
+            sums, seen, words = np.zeros(n), np.zeros(n), np.zeros(n)
             for batch in batches:
                 index, sizes, lang = _words(batch, now)
                 at = now.levels(index, sizes, lang)
                 sums += np.bincount(index, weights=np.repeat(GRID[at], sizes), minlength=n)
+                words += np.bincount(index, minlength=n)
                 # the histogram of levels, by words, in the first places of each language
                 seen += np.bincount(lang * BINS + at, weights=sizes, minlength=n)
-            yield _emit({"t": sums, "h": seen})
-
-        sums, seen = _summed(feats.select("lang", "terms").mapInArrow(step, "i bigint, t double, h double"), n, ["t", "h"])
+            yield _emit({"t": sums, "c": words, "h": seen})
+
+        made = feats.select("lang", "terms").mapInArrow(step, "i bigint, t double, c double, h double")
+        summed = cut(made.groupBy("i").agg(*[F.sum(x).alias(x) for x in "tch"]))
+        weight = np.zeros((n_lang, len(GRID)))
+        for i, h in summed.filter("h > 0").select("i", "h").toPandas().itertuples(index=False):
+            weight[i // BINS, i % BINS] = h
+        base = np.log(np.maximum(weight, 1e-300)) - model.log_z
+        # each word is a problem by itself, so words are spread over tasks: few bytes, much work
+        words = summed.filter("c > 0").repartition(tasks, F.xxhash64("i")).select("i", "t", "c")
+        got = words.mapInArrow(_solver(sent, base, prior), "i bigint, b double").groupBy("i").agg(F.sum("b").alias("b")).toPandas()
+        i, value = got["i"].to_numpy(dtype=np.int64), got["b"].to_numpy(dtype=float)
+        b = np.zeros(n)
+        b[i[i >= 0]] = value[i >= 0]
+        # below 0: for each language the sum of its words' shares, and of their tilted shares at each level
+        totals = np.zeros(n_lang * (len(GRID) + 1))
+        totals[-1 - i[i < 0]] = value[i < 0]
+        totals = totals.reshape(n_lang, -1)
+        log_z = np.log(np.maximum(totals[:, 1:], 1e-300)) - np.log(np.maximum(totals[:, :1], 1e-300))
+        model = Model(model.languages, b, np.where(totals[:, :1] > 0, log_z, 0.0))
         sent.destroy()
-        sums, weight = sums.reshape(n_lang, BINS), seen.reshape(n_lang, BINS)[:, : len(GRID)]
-        p = np.zeros_like(b)
-        for i in range(n_lang):
-            at = np.flatnonzero(by_lang[i])
-            if not len(at):
-                continue
-            c, own = by_lang[i, at], b[i, at]
-            base = np.log(np.maximum(weight[i], 1e-300)) - model.log_z[i]
-            for _ in range(8):
-                tilt = np.outer(own, GRID) + base
-                tilt = np.exp(tilt - tilt.max(axis=1, keepdims=True))
-                tilt /= tilt.sum(axis=1, keepdims=True)
-                mean = tilt @ GRID
-                var = np.maximum(tilt @ GRID**2 - mean**2, 1e-9)
-                own = own + np.clip((sums[i, at] - c * mean - own / prior) / (c * var + 1 / prior), -0.5, 0.5)
-            b[i, at] = np.clip(own, -5, 5)
-            p[i, at] = c / np.maximum(np.exp(np.outer(b[i, at], GRID) + base).sum(axis=1), 1e-300)
-        p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-        model.difficulty, model.log_z = b.ravel().copy(), normaliser(b, p)
     return model
 
 
+def _solver(sent, base: np.ndarray, prior: float):
+    """For each word (``i, t, c``: place, sum of levels, number) its difficulty, by Newton steps in one variable."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, width = sent.value.difficulty, len(GRID) + 1
+        totals = np.zeros(len(base) * width)
+        for batch in batches:
+            i, t, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for low in range(0, len(i), 20_000):
+                at, sums, count = i[low : low + 20_000], t[low : low + 20_000], c[low : low + 20_000]
+                own, lang = old[at].copy(), at // BINS
+                ground = base[lang]
+                for _ in range(8):
+                    tilt = np.outer(own, GRID) + ground
+                    tilt = np.exp(tilt - tilt.max(axis=1, keepdims=True))
+                    tilt /= tilt.sum(axis=1, keepdims=True)
+                    mean = tilt @ GRID
+                    var = np.maximum(tilt @ GRID**2 - mean**2, 1e-9)
+                    own = own + np.clip((sums - count * mean - own / prior) / (count * var + 1 / prior), -0.5, 0.5)
+                own = np.clip(own, -5, 5)
+                power = np.outer(own, GRID)
+                share = count / np.maximum(np.exp(power + ground).sum(axis=1), 1e-300)
+                tilted = np.exp(power) * share[:, None]
+                for x in np.unique(lang):
+                    on = lang == x
+                    totals[x * width] += share[on].sum()
+                    totals[x * width + 1 : (x + 1) * width] += tilted[on].sum(axis=0)
+                yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "b": pa.array(own, pa.float64())})
+        on = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(-1 - on, pa.int64()), "b": pa.array(totals[on], pa.float64())})
+
+    return solve
+
+
 def calibrate(model: Model, level: np.ndarray, grade: np.ndarray) -> None:
     """Rating-scale thresholds for grades 1 to 5 on graded documents: one slope for all steps, by Newton steps."""
     ok = ~np.isnan(level) & ~np.isnan(grade)
@@ -267,3 +301,16 @@ def reading_levels(docs: DataFrame, labels: DataFrame | None = None, ident: str
         known = apply(feats, model, ident).select(ident, "level").join(graded, ident).orderBy(F.xxhash64(ident), ident).limit(max_labels).toPandas()
         calibrate(model, known["level"].to_numpy(dtype=float), known["given"].to_numpy(dtype=float))
     return apply(feats, model, ident)
+
+
+def agreement(levels: DataFrame, labels: DataFrame, ident: str = "doc_id") -> tuple[int, float, float]:
+    """Graded documents that have a level, and the rank correlation of their mean grade with the level and with the index.
+
+    Ranks are of at most as many documents as are graded by hand; equal values share their mean rank.
+    """
+    given = labels.select(ident, "grader", "reading_level").distinct().filter("reading_level IS NOT NULL").groupBy(ident).agg(F.avg("reading_level").alias("given"))
+    both = levels.filter("level IS NOT NULL").select(ident, "level", "ari").join(given, ident).select("level", "ari", "given").toPandas()
+    if len(both) < 2:
+        return len(both), float("nan"), float("nan")
+    ranks = both.rank()
+    return len(both), float(ranks["level"].corr(ranks["given"])), float(ranks["ari"].corr(ranks["given"]))

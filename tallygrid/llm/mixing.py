@@ -64,13 +64,15 @@ def thresholds(sized: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFr
     done = None
     for level in range(ROUNDS):
         if level:
-            inside = sized.join(state.select("source", F.col("prefix").alias("boundary")), "source")
+            inside = sized.join(F.broadcast(state.select("source", F.col("prefix").alias("boundary"))), "source")
             inside = inside.filter(_prefix(F.col("h"), level - 1) == F.col("boundary"))
             level_counts = inside.groupBy("source", _prefix(F.col("h"), level).alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
         up = level_counts.withColumn("up", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")))
-        joined = state.join(up, "source", "left")
+        # the state has one row for each target, a table of configuration; the buckets stay where they are
+        joined = up.join(F.broadcast(state), "source")
         fits = F.col("up") <= F.col("left")
-        found = joined.groupBy("source", "left", "prefix", "reached").agg(F.coalesce(F.max(F.when(fits, F.col("up"))), F.lit(0)).alias("took"), F.min(F.when(~fits, F.col("bucket"))).alias("boundary"))
+        ends = joined.groupBy("source").agg(F.max(F.when(fits, F.col("up"))).alias("took"), F.min(F.when(~fits, F.col("bucket"))).alias("boundary"))
+        found = state.join(F.broadcast(ends), "source", "left").withColumn("took", F.coalesce("took", F.lit(0)))
         # without a bucket that doesn't fit, all that is inside is taken: the threshold is the end of the prefix
         ended = found.filter(F.col("boundary").isNull()).select("source", F.when(F.lit(level == 0), F.lit(RANGE)).otherwise(F.shiftleft(F.col("prefix") + 1, BITS * (ROUNDS - level))).cast("bigint").alias("threshold"), (F.col("reached") + F.col("took")).alias("reached"))
         state = cut(found.filter(F.col("boundary").isNotNull()).select("source", (F.col("left") - F.col("took")).alias("left"), F.col("boundary").alias("prefix"), (F.col("reached") + F.col("took")).alias("reached")))

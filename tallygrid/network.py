@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.operators import constraint, factors, local_structure, sampling, search, sparse
+from tallygrid.operators import constraint, drawing, factors, local_structure, sampling, search, sparse
 from tallygrid.operators import graphs as G
 from tallygrid.operators.counter import Counter
 from tallygrid.operators.counting import Family, Tally, cpds, look_up, row_log_probability
@@ -34,6 +34,8 @@ class Options:
     measure: str = "mi"
     sparsity: float = 0.01
     max_condition: int | None = None
+    scorer: Callable[[np.ndarray, float], float] | None = None
+    base: str | Callable[[Problem, Scores], np.ndarray] = "stable_hc"
 
     @property
     def level(self) -> float:
@@ -42,6 +44,9 @@ class Options:
 
 
 def _scores(p: Problem, kind: str, o: Options) -> Scores:
+    """Scores of a kind, or by the user's own function in its place."""
+    if o.scorer is not None:
+        return Scores(p.counter, o.scorer, o.alpha, o.penalty)
     caps = {"max_depth": o.max_depth, "max_leaves": o.max_leaves} if kind in ("dt", "dg") else {}
     if kind == "dg" and o.split:
         caps["by"] = {"bic": "mdl"}.get(o.split, o.split)
@@ -72,6 +77,18 @@ def _climb(kind: str) -> Callable[[Problem, Options], np.ndarray]:
     return lambda p, o: search.hill_climb(p, _scores(p, kind, o), o.start)
 
 
+#: Learners that iterated communities can run on their parts.
+BASES: dict[str, Callable[[Problem, Scores], np.ndarray]] = {"stable_hc": search.hill_climb, "tabu": search.tabu, "add_only": search.add_only, "k2": search.k2_search, "levelwise": search.exact_search}
+
+
+def _base(o: Options) -> Callable[[Problem, Scores], np.ndarray]:
+    if callable(o.base):
+        return o.base
+    if o.base not in BASES:
+        raise ValueError(f"unknown base learner {o.base!r}; there are {sorted(BASES)}")
+    return BASES[o.base]
+
+
 METHODS: dict[str, Callable[[Problem, Options], np.ndarray]] = {
     "k2": lambda p, o: search.k2_search(p, _scores(p, "k2", o)),
     "boa": lambda p, o: search.k2_search(p if p.max_parents is not None else Problem(p.counter, p.permutation, p.mask, 3, p.seed), _scores(p, "k2", o)),
@@ -96,7 +113,7 @@ METHODS: dict[str, Callable[[Problem, Options], np.ndarray]] = {
     "dmbbn": lambda p, o: search.rooted_vote(p, _scores(p, "k2", o)),
     "levelwise": lambda p, o: search.exact_search(p, _scores(p, "bic", o)),
     "sartre": lambda p, o: sparse.order_lasso(p),
-    "iterdsla": lambda p, o: search.iterated_communities(p, _scores(p, "bic", o), rounds=o.rounds),
+    "iterdsla": lambda p, o: search.iterated_communities(p, _scores(p, "bic", o), _base(o), o.rounds),
     "binotears": lambda p, o: sparse.notears(p, o.sparsity),
     "bounded_tw": lambda p, o: search.bounded_treewidth(p, _scores(p, "bic", o), o.k, o.trees),
     "univ_bn": lambda p, o: np.zeros((p.n_vars, p.n_vars), dtype=int),
@@ -200,6 +217,11 @@ class Network:
         self.notes = problem.notes
         return self
 
+    @staticmethod
+    def learn_variable_clustering(counter: Counter, alpha: float = 1.0, stop: float = 0.0, max_cells: int | None = None) -> dict:
+        """Clusters of variables joined by the largest log Bayes factor while it exceeds ``stop``: ``clusters`` and ``merges``."""
+        return search.variable_clusters(counter, alpha, stop, max_cells)
+
     def learn_parameters(self, counter: Counter, method: str | object = "mle", alpha: float = 1.0, **options) -> "Network":
         """Counts with alpha spread over the states, or ``logistic`` tables, or an object with ``learn(counter, families)``."""
         families = self.families()
@@ -305,6 +327,14 @@ class Network:
         logs = [np.log(np.maximum(np.atleast_2d(p), floor)).ravel() for p in self._dense().probs]
         return look_up(tally.df, tally, self.families(), logs)
 
+    def plot(self, names: Sequence[str] | None = None) -> str:
+        """A drawing as SVG text: variables by level, parents above their children."""
+        return drawing.network_svg(self.adjacency, names)
+
+    def plot_tables(self, var: int, names: Sequence[str] | None = None) -> str:
+        """Bars of the variable's table as SVG text, a group for each parent configuration."""
+        return drawing.bars_svg(np.atleast_2d(self._dense().probs[var]), names[var] if names else f"x{var}")
+
     def __repr__(self) -> str:
         return f"Network({self.n_vars} variables, {int(self.adjacency.sum())} edges, {'local tables' if self.local else 'tables' if self.tables else 'no tables'})"
 

@@ -116,13 +116,13 @@ class MaxGenerations(Stop):
 
 @dataclass(frozen=True)
 class Statistics:
-    """Of one generation, after replacement and before selection."""
+    """Of one generation, after replacement and before selection; with several objectives a number for each."""
 
     generation: int
-    best: float
-    mean: float
-    std: float
-    worst: float
+    best: float | tuple[float, ...]
+    mean: float | tuple[float, ...]
+    std: float | tuple[float, ...]
+    worst: float | tuple[float, ...]
 
 
 @dataclass
@@ -170,13 +170,22 @@ class Run:
     populations: list[DataFrame]
 
 
-def statistics_of(population: DataFrame, generation: int) -> Statistics:
-    r = population.agg(F.max("f").alias("b"), F.avg("f").alias("m"), F.stddev_pop("f").alias("s"), F.min("f").alias("w")).first()
-    return Statistics(generation, r["b"], r["m"], r["s"], r["w"])
+def statistics_of(population: DataFrame, generation: int, objectives: Sequence[str] = ("f",)) -> Statistics:
+    """One pass over the population."""
+    folds = {"best": F.max, "mean": F.avg, "std": F.stddev_pop, "worst": F.min}
+    r = population.agg(*[fold(F.col(o)).alias(f"{name}_{i}") for name, fold in folds.items() for i, o in enumerate(objectives)]).first()
+    found = {name: tuple(r[f"{name}_{i}"] for i in range(len(objectives))) for name in folds}
+    return Statistics(generation, **{k: v[0] if len(objectives) == 1 else v for k, v in found.items()})
 
 
-def run(spark: SparkSession, cards: Sequence[int], fitness: Column | Callable[[DataFrame], Column], n: int, parts: Components | None = None, keep: Kept | None = None, seed: int = 0) -> Run:
-    """Seed, evaluate, select, learn and sample until stopped. The fitness is a column over ``x0`` ...; every generation cuts the lineage."""
+def run(spark: SparkSession, cards: Sequence[int], fitness: Column | Callable[[DataFrame], Column] | Sequence[Column], n: int, parts: Components | None = None, keep: Kept | None = None, seed: int = 0) -> Run:
+    """Seed, evaluate, select, learn and sample until stopped. The fitness is a column over ``x0`` ...; every generation cuts the lineage.
+
+    Several objectives, a list of columns, are kept as ``f0``, ``f1`` ...; ``f``, by which rows are selected and the best one is
+    found, is their mean.
+    """
+    several = isinstance(fitness, (list, tuple))
+    objectives = [f"f{i}" for i in range(len(fitness))] if several else ["f"]
     parts, keep = parts or Components(), keep or Kept()
     if missing := parts.missing():
         raise ValueError(f"missing parts: {missing}")
@@ -188,6 +197,9 @@ def run(spark: SparkSession, cards: Sequence[int], fitness: Column | Callable[[D
         return df
 
     def evaluated(df: DataFrame) -> DataFrame:
+        if several:
+            df = df.withColumns({o: c.cast("double") for o, c in zip(objectives, fitness, strict=True)})
+            return df.withColumn("f", sum((F.col(o) for o in objectives), F.lit(0.0)) / len(objectives))
         return df.withColumn("f", (fitness(df) if callable(fitness) and not isinstance(fitness, Column) else fitness).cast("double"))
 
     stats: list[Statistics] = []
@@ -196,7 +208,7 @@ def run(spark: SparkSession, cards: Sequence[int], fitness: Column | Callable[[D
     population = cut(changed(evaluated(changed(parts.seeding.seed(spark, cards, n, seed), ["repair"], 0)), ["local"], 0))
     generation = 0
     while True:
-        stats.append(statistics_of(population, generation))
+        stats.append(statistics_of(population, generation, objectives))
         if keep.populations:
             populations.append(population)
         model = parts.learning.learn(cut(parts.selection.select(population, n)), cards)

@@ -8,7 +8,6 @@ import threading
 import time
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from tallygrid.operators.counter import Counter
 from tallygrid.operators.counting import Tally
 from tallygrid.operators.ordered import first_k
 from tallygrid.operators.sampling import ancestral
+from tallygrid.sources.files import write_text
 from tallygrid.sources.r_network import Definition
 
 #: The order of an evaluation vector.
@@ -96,7 +96,7 @@ def evaluate(population: DataFrame, cards: Sequence[int], true: Sequence[tuple[i
 
 
 def compare_learners(spark: SparkSession, problems: dict[str, tuple[Counter, np.ndarray]], methods: Sequence[str], seconds: float = 300.0, **options) -> DataFrame:
-    """``bn_name, method``, rates, distance and ``time_s`` of each method on each network; null where a method ended or failed."""
+    """``bn_name, method``, rates, distance and ``time_s`` of each method on each network; null where a method ended or failed, with the reason in ``failure``."""
     rows, learnt, true = [], [], []
     for name, (counter, truth) in problems.items():
         true += [(name, m, int(u), int(v)) for m in methods for u, v in zip(*np.nonzero(truth), strict=True)]
@@ -105,13 +105,13 @@ def compare_learners(spark: SparkSession, problems: dict[str, tuple[Counter, np.
             try:
                 with guard(spark, seconds):
                     net = Network(counter.cards).learn_structure(counter, m, **options)
-            except (OutOfTime, ValueError):
-                rows.append((name, m, None))
+            except (OutOfTime, ValueError) as e:
+                rows.append((name, m, None, f"{type(e).__name__}: {e}"))
                 continue
-            rows.append((name, m, time.perf_counter() - began))
+            rows.append((name, m, time.perf_counter() - began, None))
             learnt += [(name, m, u, v) for u, v in net.edges()]
     schema = "bn_name string, method string, src int, dst int"
-    done = spark.createDataFrame(rows, "bn_name string, method string, time_s double")
+    done = spark.createDataFrame(rows, "bn_name string, method string, time_s double, failure string")
     metrics = E.edge_metrics(spark.createDataFrame(learnt, schema), spark.createDataFrame(true, schema), ["bn_name", "method"])
     kept = metrics.join(done.filter("time_s IS NOT NULL"), ["bn_name", "method"])
     return kept.unionByName(done.filter("time_s IS NULL"), allowMissingColumns=True)
@@ -143,12 +143,15 @@ def survivors(run: Callable[[str, str, float], float | None], problems: Sequence
 
 
 def write_benchmark(spark: SparkSession, d: Definition, folder: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """Rows drawn from a definition, as a headerless table, and its metadata beside it; gives the rows."""
+    """Rows drawn from a definition, as a headerless table, and its metadata beside it; gives the rows.
+
+    The folder may be on any file system that Spark can write to.
+    """
     rows = ancestral(spark, d.tables, n, seed)
-    rows.drop("id").coalesce(1).write.mode("overwrite").csv(f"{folder}/{d.name}_data_N{n}.csv")
+    rows.drop("id").write.mode("overwrite").csv(f"{folder}/{d.name}_data_N{n}.csv")
     a = d.adjacency
     meta = {"name": d.name, "n_vars": d.tables.n, "n_edges": int(a.sum()), "n_samples": n, "description": f"drawn with seed {seed}", "var_names": d.variables, "cardinality": list(d.tables.cards), "adjacency": a.tolist(), "var_states": dict(zip(d.variables, d.states, strict=True))}
-    Path(folder, f"{d.name}_meta.json").write_text(json.dumps(meta))
+    write_text(spark, f"{folder}/{d.name}_meta.json", json.dumps(meta))
     return rows
 
 
@@ -165,19 +168,6 @@ def split_by_cells(cards: Sequence[int], most: int) -> list[list[int]]:
     return out
 
 
-def layout(adjacency: np.ndarray) -> list[tuple[int, float, float]]:
-    """Places for drawing: a row for each level, parents above children."""
-    from tallygrid.operators import graphs as G
-
-    level: dict[int, int] = {}
-    for v in G.topological(adjacency) or range(len(adjacency)):
-        level[v] = 1 + max((level.get(u, -1) for u in G.parents(adjacency, v)), default=-1)
-    rows: dict[int, list[int]] = {}
-    for v, y in sorted(level.items()):
-        rows.setdefault(y, []).append(v)
-    return sorted((v, (i + 1) / (len(vs) + 1), -float(y)) for y, vs in rows.items() for i, v in enumerate(vs))
-
-
 def table_summary(tables: Sequence[np.ndarray]) -> list[tuple[int, int, float, float]]:
     """(variable, state, mean, standard deviation) over parent configurations."""
     return [(v, s, float(np.atleast_2d(t)[:, s].mean()), float(np.atleast_2d(t)[:, s].std())) for v, t in enumerate(tables) for s in range(np.atleast_2d(t).shape[1])]

@@ -273,8 +273,9 @@ def clique_separators(graph: np.ndarray) -> list[list[int]]:
 
 
 def split_width(cliques: Sequence[tuple[int, ...]], width: int) -> list[tuple[int, ...]]:
-    """Cliques cut to at most so many variables."""
-    cut = {c[i : i + width] for c in cliques for i in range(0, len(c), width)}
+    """Cliques cut to at most so many variables; neighbouring pieces share one, so that dependence across a cut isn't lost."""
+    step = max(1, width - 1)
+    cut = {c[i : i + width] for c in cliques for i in range(0, max(1, len(c) - (width > 1)), step)}
     return sorted(c for c in cut if not any(set(c) < set(d) for d in cut))
 
 
@@ -348,10 +349,40 @@ def ordered_structure(cliques: Sequence[tuple[int, ...]]) -> list[tuple[tuple[in
     return out
 
 
+def clique_order(cliques: Sequence[tuple[int, ...]]) -> list[int]:
+    """An order for sampling: a clique waits for every one that it overlaps without lying inside it.
+
+    Cliques that wait for nothing more come first in, first out; if some wait for each other, the order is that of the list.
+    """
+    sets = [set(c) for c in cliques]
+    waits = {i: {j for j, b in enumerate(sets) if j != i and a & b and not a <= b} for i, a in enumerate(sets)}
+    ready, out = deque(i for i, w in waits.items() if not w), []
+    while ready:
+        done = ready.popleft()
+        out.append(done)
+        for i, w in waits.items():
+            if done in w:
+                w.discard(done)
+                if not w:
+                    ready.append(i)
+    return out if len(out) == len(sets) else list(range(len(sets)))
+
+
+def structure_rows(cliques: Sequence[tuple[int, ...]], order: Sequence[int] | None = None) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(overlap, new) of every clique in the order given, or in that of the list; what is new may be nothing."""
+    seen: set[int] = set()
+    out = []
+    for i in range(len(cliques)) if order is None else order:
+        c = sorted(set(cliques[i]))
+        out.append((tuple(v for v in c if v in seen), tuple(v for v in c if v not in seen)))
+        seen |= set(c)
+    return out
+
+
 def structure_matrix(parts: Sequence[tuple[tuple[int, ...], tuple[int, ...]]]) -> np.ndarray:
-    """Rows ``n_overlap, n_new, overlap..., new...``, filled up with -1."""
-    width = 2 + 2 * max((max(len(o), len(n)) for o, n in parts), default=0)
-    out = np.full((len(parts), width), -1)
+    """Rows ``n_overlap, n_new, overlap..., new...``, filled up with 0 to twice the largest clique."""
+    width = 2 + 2 * max((len(o) + len(n) for o, n in parts), default=0)
+    out = np.zeros((len(parts), width), dtype=int)
     for r, (o, n) in enumerate(parts):
         row = [len(o), len(n), *o, *n]
         out[r, : len(row)] = row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from math import lgamma, log
 from operator import add
@@ -134,17 +134,20 @@ KINDS = ("bic", "aic", "k2", "k2_pen", "ebna", "dt", "dg")
 class Scores:
     """Local scores of one kind on one counter, remembered by variable and set of parents.
 
-    ``bde`` and ``bdeu`` name ``k2`` too. An alpha of 0 is 1 for the Dirichlet kinds.
+    ``bde`` and ``bdeu`` name ``k2`` too. An alpha of 0 is 1 for the Dirichlet kinds. The kind may also be a score of one's
+    own: a function of the family's counts, a row for each parent configuration, and of the number of rows.
     """
 
     counter: Counter
-    kind: str = "bic"
+    kind: str | Callable[[np.ndarray, float], float] = "bic"
     alpha: float = 0.0
     penalty: str | float = "bic"
     caps: dict = field(default_factory=dict)
     known: dict[tuple[int, tuple[int, ...]], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        if callable(self.kind):
+            return
         self.kind = {"bde": "k2", "bdeu": "k2", "boa": "k2"}.get(self.kind.lower(), self.kind.lower())
         if self.kind not in KINDS:
             raise ValueError(f"unknown score {self.kind!r}")
@@ -166,6 +169,8 @@ class Scores:
 
     def _fold(self, var: int, parents: tuple[int, ...]) -> float:
         n, k = self.counter.n, self.counter.cards[var]
+        if callable(self.kind):
+            return float(self.kind(self.counter.family(var, parents), n))
         if self.kind in ("dt", "dg"):
             return (tree_score if self.kind == "dt" else graph_score)(self.counter.table((*parents, var)), self.alpha, n, **self.caps)
         rows = self.counter.family(var, parents)
@@ -182,7 +187,7 @@ class Scores:
     def added(self, var: int, parents: Sequence[int], more: Sequence[int]) -> np.ndarray:
         """Local scores with each of ``more`` added to the parents, all in one batch."""
         base = tuple(sorted(parents))
-        if self.kind in ("dt", "dg") or not self.counter.local:
+        if callable(self.kind) or self.kind in ("dt", "dg") or not self.counter.local:
             self.prefetch([(var, [*base, u]) for u in more])
             return np.array([self.local(var, [*base, u]) for u in more])
         new = [u for u in more if (var, tuple(sorted((*base, u)))) not in self.known]

@@ -338,8 +338,9 @@ def ones(_: DataFrame):
 
 def gen_statistics(spark, d):
     """Best, mean, spread and worst price of each line number's rows as a generation."""
-    g = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("generation"))
-    return g.agg(F.round(F.max("l_extendedprice"), 4).alias("best"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("std"), F.round(F.min("l_extendedprice"), 4).alias("worst"))
+    rows = table(spark, d, "lineitem").select("l_linenumber", F.col("l_extendedprice").alias("f"))
+    found = [eda.statistics_of(rows.filter(F.col("l_linenumber") == g), g) for g in sorted(r[0] for r in rows.select("l_linenumber").distinct().collect())]  # seven of them
+    return spark.createDataFrame([(s.generation, *[round(float(x), 4) for x in (s.best, s.mean, s.std, s.worst)]) for s in found], "generation int, best double, mean double, std double, worst double")
 
 
 def truncation_selection(spark, d):
@@ -491,9 +492,7 @@ SELECT i AS u, j AS v FROM ed WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.ed
     "k_best_partition": f"{_JOINT} SELECT {_COLS}, round(p, 10) AS p FROM joint ORDER BY joint.p DESC LIMIT 6",
     "row_logprob": f"{_JOINT} SELECT {_COLS}, round(ln(joint.p), 6) AS logp FROM joint JOIN cfg USING ({_COLS})",
     "mean_ll": f"{_JOINT} SELECT round(sum(ln(joint.p) * w) / sum(w), 6) AS ll FROM joint JOIN cfg USING ({_COLS})",
-    "decision_tree_route": f"WITH {X.SQL} SELECT CASE WHEN x0 = 0 THEN 0 ELSE 1 END AS leaf, sum(w) AS n FROM cfg GROUP BY ALL",
-    "dt_features": "SELECT l * 2 + k AS feature, v AS var, CASE WHEN v = 0 THEN l ELSE k END AS state FROM (SELECT unnest([0, 0, 1, 1])::INT AS l, unnest([0, 1, 0, 1])::INT AS k), (SELECT unnest([0, 3])::INT AS v)",
     "ancestral_sample": f"{_CPD}, q AS (SELECT var, pcfg, state, sum(p) OVER (PARTITION BY var, pcfg ORDER BY state) AS c FROM cpd), s AS (SELECT id, " + ", ".join(f"{_U(v)} AS u{v}" for v in range(5)) + f" FROM range({N_DRAWS}) r(id)), y0 AS (SELECT s.*, (SELECT count(*) FROM q WHERE var = 0 AND c <= u0 AND state < 1)::INT AS x0 FROM s), y1 AS (SELECT y0.*, (SELECT count(*) FROM q WHERE var = 1 AND pcfg = x0 AND c <= u1 AND state < 1)::INT AS x1, (SELECT count(*) FROM q WHERE var = 3 AND pcfg = x0 AND c <= u3 AND state < 1)::INT AS x3, (SELECT count(*) FROM q WHERE var = 4 AND c <= u4 AND state < 2)::INT AS x4 FROM y0), y2 AS (SELECT y1.*, (SELECT count(*) FROM q WHERE var = 2 AND pcfg = x1 AND c <= u2 AND state < 1)::INT AS x2 FROM y1) SELECT {_COLS}, count(*) AS n FROM y2 GROUP BY ALL",
-    "gen_statistics": "SELECT l_linenumber AS generation, round(max(l_extendedprice), 4) AS best, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(min(l_extendedprice), 4) AS worst FROM lineitem GROUP BY 1",
+    "gen_statistics": "SELECT l_linenumber::INT AS generation, round(max(l_extendedprice), 4) AS best, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(min(l_extendedprice), 4) AS worst FROM lineitem GROUP BY 1",
     "truncation_selection": "WITH s AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT count(*) // 2 FROM orders)) SELECT count(*) AS n, min(o_totalprice) AS least, sum(o_orderkey)::BIGINT AS keys FROM s",
 }

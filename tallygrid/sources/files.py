@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from glob import glob
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.operators.ordered import first_k
 from tallygrid.operators.run_records import FIELDS
 
 
 def read_states(spark: SparkSession, path: str, n_vars: int, most: int | None = None) -> DataFrame:
     """A headerless table of integers as ``row_id, x0`` ...; rows that aren't whole numbers or of another width are dropped.
 
-    ``row_id`` follows the file's order within each partition; ``most`` keeps the first rows.
+    ``row_id`` follows the file's order within each piece of a file; ``most`` keeps the first rows by name of file, place of
+    the piece and row.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), r"\s*,\s*").alias("v"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), r"\s*,\s*").alias("v"))
     good = lines.filter((F.size("v") == n_vars) & F.forall("v", lambda c: c.rlike(r"\A[+-]?[0-9]{1,9}\z")))
     if most is not None:
-        good = good.orderBy("row_id").limit(most)
+        good = first_k(good, [F.asc("at"), F.asc("row_id")], most)
     return good.select("row_id", *[F.col("v")[i].cast("int").alias(f"x{i}") for i in range(n_vars)])
 
 
@@ -101,6 +105,22 @@ def tidy_results(files: DataFrame) -> DataFrame:
     return out
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on whatever file system the path is of: written beside its place, then renamed, so it is whole or absent."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"{path} could not be put in its place")
+
+
 def write_table(df: DataFrame, path: str, fields: list[str]) -> None:
     """A table with a header, the fields in order, other columns left out; committed whole or not at all."""
     df.select(*[F.col(f"`{f}`") for f in fields]).write.mode("errorifexists").csv(path, header=True)

@@ -256,7 +256,7 @@ def test_graph_kernels():
     assert G.strong_components(G.adjacency_of(4, [(0, 1), (1, 2), (2, 0), (2, 3)])) == [[0, 1, 2], [3]]
     assert G.topological(G.adjacency_of(2, [(0, 1), (1, 0)])) is None
     assert G.ordered_structure([(0, 1), (1, 2)]) == [((), (0, 1)), ((1,), (2,))]
-    assert G.structure_matrix([((), (0, 1)), ((1,), (2,))]).tolist() == [[0, 2, 0, 1, -1, -1], [1, 1, 1, 2, -1, -1]]
+    assert G.structure_matrix([((), (0, 1)), ((1,), (2,))]).tolist() == [[0, 2, 0, 1, 0, 0], [1, 1, 1, 2, 0, 0]]
     assert G.capped_cliques(np.ones((4, 4)) - np.eye(4), 2)[0] == (0, 1)
     assert G.neighbourhoods([(0, 1), (1, 2)], 3) == [[1], [0, 2], [1]] and G.neighbour_cliques([[1], [0]]) == [(0, 1)]
     assert G.clique_graph([(0, 1), (1, 2)]).tolist() == [[0, 1], [1, 0]]

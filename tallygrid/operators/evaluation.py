@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions.special import chi2_sf
+from tallygrid.cluster import cut
 from tallygrid.operators.ordered import running
 
 #: Upper 5 percent points of the studentized range, over root 2, for 2 to 20 groups.
@@ -58,11 +59,14 @@ def average_ranks(df: DataFrame, value: str, by: list[str], descending: bool = T
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """``rho`` of each group, null if a side is constant. Ranks come from counts by value, so ties are combined first."""
 
-    def ranks(c: str, out: str) -> DataFrame:
-        counts = running(df.groupBy(*by, c).agg(F.count("*").alias("n")), by, c, "n", "up")
-        return counts.select(*by, c, (F.col("up") - (F.col("n") - 1) / 2).alias(out))
-
-    joined = df.join(ranks(a, "_ra"), [*by, a]).join(ranks(b, "_rb"), [*by, b])
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).cast("double").alias("v")) for i, c in enumerate((a, b))]))
+    counts = df.select(*by, sides.alias("_s")).groupBy(*by, F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("n"))
+    # both sides are ranked in one pass
+    placed = cut(running(counts, [*by, "_side"], "_v", "n", "up").select(*by, "_side", "_v", (F.col("up") - (F.col("n") - 1) / 2).alias("_r")))
+    joined = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    for i, side in enumerate("ab"):
+        ranks = placed.filter(F.col("_side") == i).select(*by, F.col("_v").alias(f"_{side}"), F.col("_r").alias(f"_r{side}"))
+        joined = joined.join(ranks, [*by, f"_{side}"])
     spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
     return joined.groupBy(*by).agg(F.when(spread > 0, F.covar_pop("_ra", "_rb") / spread).alias("rho"))
 

@@ -18,6 +18,7 @@ from tallygrid.network import Network
 from tallygrid.operators import evaluation as E
 from tallygrid.operators.counter import Counter
 from tallygrid.operators.counting import Tally
+from tallygrid.operators.drawing import layout  # noqa: F401
 from tallygrid.operators.ordered import first_k
 from tallygrid.operators.sampling import ancestral
 from tallygrid.sources.files import write_text

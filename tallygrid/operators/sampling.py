@@ -131,6 +131,7 @@ def fit_copula_frame(df: DataFrame, columns: list[str]) -> dict:
     for each column a DataFrame ``ranks`` of all its values ``v``, their counts ``n`` and ranks up to them, ``up``. Rows
     with a null or NaN are left out, since they have no place in the joint law.
     """
+    from tallygrid.cluster import cut
     from tallygrid.operators.ordered import running
 
     for c in columns:
@@ -139,11 +140,13 @@ def fit_copula_frame(df: DataFrame, columns: list[str]) -> dict:
     n = rows.count()
     if n == 0:
         raise ValueError("no whole rows to fit")
-    tables = []
-    for j in range(len(columns)):
-        counts = running(rows.groupBy(f"v{j}").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0)), ["_all"], f"v{j}", "n", "up")
-        rows = rows.join(counts.select(f"v{j}", _normal_score((F.col("up") - (F.col("n") - 1) / 2) / (n + 1)).alias(f"z{j}")), f"v{j}")
-        tables.append(counts.select(F.col(f"v{j}").alias("v"), "n", "up"))
+    # counts by column and value, ranked in one pass for all columns
+    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"v{j}").alias("v")) for j in range(len(columns))])).alias("c")
+    counts = rows.select(cells).groupBy("c.j", "c.v").agg(F.count("*").alias("n"))
+    placed = cut(running(counts, ["j"], "v", "n", "up"))
+    tables = [placed.filter(F.col("j") == j).select("v", "n", "up") for j in range(len(columns))]
+    for j, t in enumerate(tables):
+        rows = rows.join(t.select(F.col("v").alias(f"v{j}"), _normal_score((F.col("up") - (F.col("n") - 1) / 2) / (n + 1)).alias(f"z{j}")), f"v{j}")
     d = len(columns)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = rows.agg(*[F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.avg(f"z{i}").alias(f"m{i}") for i in range(d)]).first()

@@ -321,23 +321,41 @@ def random_dag(p: Problem, rng: np.random.Generator, chance: float = 0.3) -> np.
 
 
 def communities(undirected: np.ndarray, spread: float = 1.0, overlap: float = 0.5) -> list[list[int]]:
-    """Overlapping communities: each grows from the densest free variable by those with most of their edges inside."""
-    n, left, out = len(undirected), set(range(len(undirected))), []
+    """Overlapping communities of a skeleton.
+
+    From the variables with most neighbours down, a variable that isn't covered along with all its neighbours starts a
+    community, which takes in the neighbour that raises its fitness most, the share of its degrees that lie inside, while one
+    does. Communities that share at least ``overlap`` of the smaller one are then fused, until no two are.
+    """
+    n = len(undirected)
     degree = undirected.sum(axis=1)
-    while left:
-        seed = max(left, key=lambda v: (degree[v], -v))
-        group = {seed}
-        while True:
-            fit = lambda s: undirected[np.ix_(sorted(s), sorted(s))].sum() / max(degree[sorted(s)].sum(), 1) ** spread
-            near = {int(u) for v in group for u in np.flatnonzero(undirected[v])} - group
-            best = max(near, key=lambda u: (fit(group | {u}), -u), default=None)
-            if best is None or fit(group | {best}) <= fit(group):
+    near = [set(map(int, np.flatnonzero(undirected[v]))) for v in range(n)]
+
+    def fitness(group: set[int]) -> float:
+        on = sorted(group)
+        all_ = float(degree[on].sum()) ** spread
+        return float(undirected[np.ix_(on, on)].sum()) / all_ if all_ > 0 else 0.0
+
+    covered: set[int] = set()
+    groups: list[set[int]] = []
+    for seed in sorted(range(n), key=lambda v: (-degree[v], v)):
+        if {seed, *near[seed]} <= covered:
+            continue
+        group, now = {seed}, fitness({seed})
+        while edge := set().union(*(near[v] for v in group)) - group:
+            best = max(edge, key=lambda u: (fitness(group | {u}), -u))
+            if (value := fitness(group | {best})) <= now:
                 break
             group.add(best)
-        group |= {int(u) for u in range(n) if u not in group and degree[u] and undirected[u, sorted(group)].sum() / degree[u] > overlap}
-        out.append(sorted(group))
-        left -= group
-    return out
+            now = value
+        groups.append(group)
+        covered |= group
+    groups += [{v} for v in range(n) if v not in covered]
+    while True:
+        pair = next(((i, j) for i, j in combinations(range(len(groups)), 2) if (shared := len(groups[i] & groups[j])) and shared >= overlap * min(len(groups[i]), len(groups[j]))), None)
+        if pair is None:
+            return [sorted(g) for g in groups]
+        groups[pair[0]] |= groups.pop(pair[1])
 
 
 def combine(p: Problem, scores: Scores, parts: Sequence[tuple[list[int], np.ndarray]]) -> np.ndarray:

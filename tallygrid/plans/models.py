@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.cluster import each_once
+from tallygrid.cluster import cut, each_once
 from tallygrid.functions.special import chi2_isf
 from tallygrid.network import METHODS, Network, pdg_nodes
 from tallygrid.operators import counting as C
@@ -82,8 +82,9 @@ def mood_learners(spark, d):
 
 
 def variable_clusters(spark, d):
+    """Merges in order, the clusters as masks of their variables."""
     out = search.variable_clusters(counter(spark, d))
-    return spark.createDataFrame([(i, list(a), list(b), round(float(s), 4)) for i, (a, b, s) in enumerate(out["merges"])], "step int, a array<int>, b array<int>, log_bf double")
+    return spark.createDataFrame([(i, sum(1 << v for v in a), sum(1 << v for v in b), round(float(s), 4)) for i, (a, b, s) in enumerate(out["merges"])], "step int, a int, b int, log_bf double")
 
 
 def markov_structure(spark, d):

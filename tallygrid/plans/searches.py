@@ -177,7 +177,36 @@ def _lpa(marginal: bool) -> str:
 col AS (SELECT p.u AS a, p.v AS c, q.u AS b FROM tb p JOIN tb q ON p.v = q.v AND p.u < q.u JOIN cmi ON cmi.i = p.u AND cmi.j = q.u AND cmi.z = p.v JOIN mi ON mi.i = p.u AND mi.j = q.u WHERE cmi.c > mi.mi), {_OUTWARD}"""
 
 
+_EVERY = [tuple(v for v in range(N) if m >> v & 1) for m in range(1, 1 << N)]
+_EVIDENCE = " UNION ALL ".join(f"SELECT {sum(1 << v for v in s)} AS mask, {X.index_sql(s)} AS c, sum(w) AS n, {X.size(s)} AS q FROM cfg GROUP BY ALL" for s in _EVERY)
+
+
+def _clusters() -> str:
+    """The pair of clusters with the largest log Bayes factor is joined while it is positive; the joined one goes to the end."""
+    gain = "ab.score - ea.score - eb.score"
+    return f"""WITH RECURSIVE {X.SQL}, ev0 AS ({_EVIDENCE}), ev AS (SELECT mask::BIGINT AS mask, sum(lgamma(n + 1.0 / q) - lgamma(1.0 / q)) + lgamma(1.0) - lgamma(sum(n) + 1.0) AS score FROM ev0 GROUP BY mask),
+st AS (SELECT [1, 2, 4, 8, 16]::BIGINT[] AS c, -1 AS step, 0::BIGINT AS a, 0::BIGINT AS b, 0.0::DOUBLE AS s UNION ALL
+SELECT list_append(list_filter(c, lambda x: x <> a AND x <> b), a | b), step + 1, a, b, g FROM (SELECT any_value(c) AS c, any_value(step) AS step, arg_max(a, g) AS a, arg_max(b, g) AS b, max(g) AS g FROM (
+  SELECT st.c, st.step, st.c[i.i] AS a, st.c[j.i] AS b, {gain} AS g FROM st, range(1, 6) i(i), range(1, 6) j(i) JOIN ev ea ON ea.mask = st.c[i.i] JOIN ev eb ON eb.mask = st.c[j.i] JOIN ev ab ON ab.mask = st.c[i.i] | st.c[j.i] WHERE i.i < j.i AND j.i <= len(st.c))) WHERE g > 0)
+SELECT step, a::INT AS a, b::INT AS b, round(s, 4) AS log_bf FROM st WHERE step >= 0"""
+
+
+def _mean_field() -> str:
+    """Coordinate steps on the planted network given x2 = 1, to the fixed point; a, b, c: shares of state 1 of x0, x1, x3."""
+    p = lambda v, q, s: f"p{v}{q}{s}"
+    logs = ", ".join(f"max(ln(p)) FILTER (var = {v} AND pcfg = {q} AND state = {s}) AS {p(v, q, s)}" for v, qs in ((0, 1), (1, 2), (2, 2), (3, 2)) for q in range(qs) for s in range(2))
+    share = lambda zero, one: f"1 / (1 + exp(({zero}) - ({one})))"
+    x0 = share(*[f"{p(0, 0, s)} + (1 - b) * {p(1, s, 0)} + b * {p(1, s, 1)} + (1 - c) * {p(3, s, 0)} + c * {p(3, s, 1)}" for s in (0, 1)])
+    x1 = share(*[f"(1 - a) * {p(1, 0, s)} + a * {p(1, 1, s)} + {p(2, s, 1)}" for s in (0, 1)])
+    x3 = share(*[f"(1 - a) * {p(3, 0, s)} + a * {p(3, 1, s)}" for s in (0, 1)])
+    cpd = f"{X.SQL}, {X.families_sql(X.NETWORK)}, cpd AS (SELECT c.var, c.pcfg, c.state, (c.n + 1.0 / c.k) / (t.total + 1.0) AS p FROM cell c JOIN cfgt t USING (fam, pcfg))"
+    return f"""WITH RECURSIVE {cpd}, lg AS (SELECT {logs} FROM cpd), st AS (SELECT 0.5::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c, 0 AS step UNION ALL
+SELECT a, b, {x3}, step + 1 FROM (SELECT a, {x1} AS b, c, step FROM (SELECT {x0} AS a, b, c, step FROM st, lg), lg), lg WHERE step < 200), z AS (SELECT * FROM st ORDER BY step DESC LIMIT 1)
+SELECT v, s, round(p, 6) AS p FROM (SELECT unnest([0, 0, 1, 1, 2, 2, 3, 3]) AS v, unnest([0, 1, 0, 1, 0, 1, 0, 1]) AS s, unnest([1 - a, a, 1 - b, b, 0.0, 1.0, 1 - c, c]) AS p FROM z UNION ALL SELECT var, state::INT, p FROM cpd WHERE var = 4)"""
+
+
 SQL = {
+    "variable_clusters": _clusters(), "mean_field_marginals": _mean_field(),
     "learn_bic": _add_only("bic", 6), "learn_aic": _add_only("aic", 6), "learn_ebna": _add_only("ebna", 2), "learn_k2_pen": _add_only("k2_pen", 6), "learn_boa": _add_only("k2", 3, True),
     "learn_stable_hc": _climb("bic"), "learn_tabu": _tabu("bic"), "learn_levelwise": _exact("bic"), "learn_pc": _pc(False), "learn_stable_pc": _pc(True), "learn_gs": _grow_shrink(),
     "learn_rebane_pearl": _rebane_pearl(), "learn_lpa": _lpa(False), "learn_lpa_marginal": _lpa(True),

@@ -168,6 +168,14 @@ def factor_parts(spark, d):
     return spark.createDataFrame(rows, "how string, s int, p double")
 
 
+def tree_scores(spark, d):
+    """Tree scores of each variable with one parent, and graph scores where the parent has two states."""
+    c = M.counter(spark, d)
+    trees, graphs = Scores(c, "dt", 1.0), Scores(c, "dg", 1.0)
+    rows = [(kind, v, u, round(s.local(v, (u,)), 4)) for kind, s in (("dt", trees), ("dg", graphs)) for v in range(5) for u in range(5) if u != v and (kind == "dt" or X.CARDS[u] == 2)]
+    return spark.createDataFrame(rows, "kind string, var int, parent int, score double")
+
+
 # facade and hooks
 
 def network_summary(spark, d):
@@ -403,7 +411,7 @@ def latex_lines(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        state_graph, maximal_cliques, min_fill, triangulated, junction_tree, sampling_order, clique_graph, clique_neighbourhoods, capped_cliques, atoms, split_cliques, clique_structure, k_best_astar, best_by_method, circuit_evidence, refused, factor_parts, network_summary, edge_operations,
+        state_graph, maximal_cliques, min_fill, triangulated, junction_tree, sampling_order, clique_graph, clique_neighbourhoods, capped_cliques, atoms, split_cliques, clique_structure, k_best_astar, best_by_method, circuit_evidence, refused, factor_parts, tree_scores, network_summary, edge_operations,
         scores_by_name, learn_foreign_score, foreign_parameters, base_learners, learn_k2_candidates, climb_from_start, variable_clusters_facade, parent_limits, table_fits, variable_groups, objectives, sweep_survivors, local_table, sampled_arithmetic_tree, csv_states, csv_table, population_file, structure_files, metadata_files, network_source, benchmark_files, latex_lines,
     )
 }
@@ -505,3 +513,17 @@ _TREE = f"{_best_split()}, l AS (SELECT DISTINCT s, (SELECT u FROM pick)::INT AS
 # the split is looked for, not taken as known
 SQL["decision_tree_route"] = f"{_best_split()} SELECT s::INT AS leaf, sum(w) AS n FROM (SELECT w, CASE (SELECT u FROM pick) WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x4 END AS s FROM cfg) GROUP BY ALL"
 SQL["dt_features"] = f"{_TREE}, f AS (SELECT (s * 2 + k)::INT AS feature, u, s::INT AS s, k::INT AS k FROM l, range(2) r(k)) SELECT feature, u AS var, s AS state FROM f UNION ALL SELECT feature, 3, k FROM f"
+
+
+def _tree_scores() -> str:
+    """A leaf, or one for each state of the parent if that gains."""
+    cells = " UNION ALL ".join(f"SELECT {v} AS var, {u} AS parent, {X.CARDS[v]} AS k, {X.CARDS[u]} AS states, x{u} AS s, x{v} AS x, sum(w) AS n FROM cfg GROUP BY ALL" for v in range(5) for u in range(5) if u != v)
+    ll = "sum((n + 1.0 / k) * ln((n + 1.0 / k) / (t + 1)))"
+    k2 = "lgamma(1.0) - lgamma(max(t) + 1.0) + sum(lgamma(n + 1.0 / k) - lgamma(1.0 / k))"
+    both = f"SELECT var, parent, k, states, {{}} AS s, {ll} AS ll, {k2} AS k2 FROM {{}} GROUP BY var, parent, k, states{{}}"
+    return f"""WITH {X.SQL}, c AS ({cells}), ch AS (SELECT *, sum(n) OVER (PARTITION BY var, parent, s) AS t FROM c), r0 AS (SELECT var, parent, k, states, x, sum(n) AS n FROM c GROUP BY var, parent, k, states, x), rt AS (SELECT *, sum(n) OVER (PARTITION BY var, parent) AS t FROM r0),
+lv AS (SELECT var, parent, sum(ll) AS ll, sum(k2) AS k2 FROM ({both.format('s', 'ch', ', s')}) GROUP BY var, parent), rv AS ({both.format('0', 'rt', '')}), j AS (SELECT rv.*, lv.ll AS l2, lv.k2 AS g2, 0.5 * ln((SELECT sum(w) FROM cfg)) * (rv.k - 1) AS price FROM rv JOIN lv USING (var, parent))
+SELECT 'dt' AS kind, var, parent, round(CASE WHEN l2 - ll - (states - 1) * price > 0 THEN l2 - states * price ELSE ll - price END, 4) AS score FROM j UNION ALL SELECT 'dg', var, parent, round(greatest(k2, g2), 4) FROM j WHERE states = 2"""
+
+
+SQL["tree_scores"] = _tree_scores()

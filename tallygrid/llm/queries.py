@@ -59,6 +59,17 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merged(days, CELL), CELL, {m: [10.0, 50.0, 90.0, 95.0, 99.0, 99.9] for m in ASKED})
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles counted within the brackets of the sketches, and whether each lies within its own."""
+    runs = percentiles.cut(_runs(spark, d))
+    rough = percentiles.cut(percentiles.percentiles(_sketches(runs), CELL, {m: [10.0, 50.0, 90.0, 95.0, 99.0] for m in ASKED}))
+    long = runs.select(*CELL, F.explode(F.create_map(*[x for m in ASKED for x in (F.lit(m), F.col(m) + 0.0)])).alias("metric", "value")).filter("value IS NOT NULL")
+    keys = [*CELL, "metric", "p"]
+    found = percentiles.exact(long, rough, CELL).withColumnRenamed("value", "counted")
+    within = F.coalesce(F.col("counted").between(F.col("low"), F.col("high")), F.lit(False))
+    return rough.join(found, keys, "left").select(*keys, "n", F.col("counted").alias("value"), within.alias("within"))
+
+
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
     """The states of each row, each row once, equal baskets counted before the product."""
     columns = [f"c{i}" for i in range(len(STATES))]
@@ -122,12 +133,16 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
+#: Graded documents below which a rank correlation says nothing.
+LEAST_GRADED = 20
+
+
 def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Levels against grades that the fit hasn't seen (of odd documents): whether ranks agree, and better than those of the index."""
+    """Levels against grades that the fit hasn't seen (of odd documents): whether their ranks agree, null for few grades."""
     labels = table(spark, d, "reading_labels")
     levels = reading.reading_levels(table(spark, d, "documents"), labels.filter("doc_id % 2 = 0"))
-    n, level, index = reading.agreement(levels, labels.filter("doc_id % 2 = 1"))
-    return spark.createDataFrame([(n, level >= 0.65, level > index)], "n_graded bigint, agrees boolean, beats_index boolean")
+    n, level, _ = reading.agreement(levels, labels.filter("doc_id % 2 = 1"))
+    return spark.createDataFrame([(n, level >= 0.65 if n >= LEAST_GRADED else None)], "n_graded bigint, agrees boolean")
 
 
 def p9_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -137,4 +152,4 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(graded, "doc_id").groupBy("source", "lang", "grade").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p5_found, p5_pairs, p6_found, p6_top10, p7_ids, p8_found, p8_shares, p8_chosen, p9_found, p9_levels, p9_agreement, p9_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p3_bounds, p5_found, p5_pairs, p6_found, p6_top10, p7_ids, p8_found, p8_shares, p8_chosen, p9_found, p9_levels, p9_agreement, p9_profile)}

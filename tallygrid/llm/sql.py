@@ -17,12 +17,13 @@ _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 SQL = {
     "p3_found": f"WITH {_CELLS} SELECT size_group, algorithm, metric FROM wide WHERE n >= 20 AND CASE WHEN metric = 'time' THEN p95 >= 20 * p50 ELSE p90 - p10 >= 0.9 END",
+    "p3_bounds": f"WITH {_CELLS}, ps AS (SELECT unnest([10, 50, 90, 95, 99]) AS p) SELECT size_group, algorithm, metric, p::DOUBLE AS p, max(n) AS n, max(v) FILTER (r = (p * n + 99) // 100) AS value, true AS within FROM placed, ps GROUP BY ALL",
     "p5_found": f"WITH {_PAIRS} SELECT item_a, item_b FROM full_ WHERE n * 200 >= n_all AND n::HUGEINT * n_all * 2 >= n_a::HUGEINT * n_b * 3",
     "p5_pairs": f"WITH {_PAIRS} SELECT item_a, item_b, n, n_a, n_b, n_all, round(n / (n_a::DOUBLE * n_b / n_all), 6) AS lift FROM full_",
     "p6_found": f"WITH {_TOP} SELECT run_id, place FROM ranked WHERE place <= 3",
     "p6_top10": f"WITH {_TOP} SELECT family, algorithm, run_id, test_sp, place FROM ranked WHERE place <= 10",
-    # the bound that the operator is held to: its flags must be true
-    "p9_agreement": "SELECT count(DISTINCT doc_id) AS n_graded, true AS agrees, true AS beats_index FROM reading_labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1 AND reading_level IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')",
+    # the bound that the operator is held to
+    "p9_agreement": "SELECT count(DISTINCT doc_id) AS n_graded, CASE WHEN count(DISTINCT doc_id) >= 20 THEN true END AS agrees FROM reading_labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1 AND reading_level IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')",
     "p9_found": f"""WITH counted AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS c, len(list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{Nd}}]'))) AS w,
 greatest(1, len(regexp_extract_all(text, '[.!?]+(?:[{_SPACE}]|$)'))) AS s FROM documents WHERE lang = 'en')
 SELECT doc_id FROM counted WHERE w >= 5 AND 4.71::DOUBLE * c / w + 0.5::DOUBLE * w / s - 21.43::DOUBLE >= 14""",

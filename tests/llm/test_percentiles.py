@@ -76,3 +76,28 @@ def test_nothing_and_only_nulls(spark):
     df = spark.createDataFrame([("a", "b", None), ("a", "b", math.nan)], "g string, h string, v double")
     for d in (df, df.limit(0)):
         assert P.percentiles(P.sketches(d, groups(), {"m": F.col("v")}), ["g", "group"], {"m": [50.0]}).count() == 0
+
+
+def test_small_and_large_groups_in_any_number_of_pieces(spark, monkeypatch):
+    """Bare values and sketches, several days, bundles of partitions, and what is sent on early: the brackets hold."""
+    rng = np.random.default_rng(9)
+    rows = [("hot" if i % 2 else f"k{i % 40}", i % 5, float(rng.normal()), float(i)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "g string, day int, v double, w double").repartition(6)
+    monkeypatch.setattr(P, "ROWS_AT_ONCE", 700)
+    monkeypatch.setattr(P, "MOST_GROUPS", 50)
+    for salts in (1, 3):
+        days = P.partial(df, {"g": F.col("g"), "day": F.col("day")}, {"v": F.col("v"), "w": F.col("w")}, k=16)
+        got = P.percentiles(P.merged(days, ["g"], 16, salts), ["g"], {"v": [50.0, 99.0], "w": [50.0]}).collect()
+        assert len(got) == len({r[0] for r in rows}) * 3
+        for r in got:
+            own = sorted(x[2 if r.metric == "v" else 3] for x in rows if x[0] == r.g)
+            assert r.n == len(own) and r.low <= own[r.target - 1] <= r.high
+            if len(own) < 90:
+                assert r.low == r.high == r.value
+
+
+def test_pieces_are_told_apart():
+    bare = np.arange(10.0).astype("<f8").tobytes()
+    big = P.joined([bare] * 100, 16, 0)
+    assert P.size_of(bare) == 10 and P.size_of(big) == 1000 and len(big) % 8 == 4 and len(P.joined([bare, bare], 64, 0)) == 160
+    assert P.Sketch.loads(P.joined([big, bare], 16, 1)).n == 1010 and P.joined([], 64, 0) == b""

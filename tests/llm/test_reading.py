@@ -73,3 +73,17 @@ def test_the_fit_raises_the_likelihood(spark):
 
     one, six = (fitness(reading.fit(feats, rounds=r)) for r in (1, 6))
     assert six > one
+
+
+def test_agreement_counts_graded_documents(spark):
+    levels = spark.createDataFrame([(1, -1.0, 3.0), (2, 0.0, 9.0), (3, 1.0, 5.0), (4, None, 1.0), (5, 2.0, None)], "doc_id bigint, level double, ari double")
+    labels = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "a", 2), (2, "b", 3), (3, "a", 5), (4, "a", 5), (9, "a", 1), (5, "a", None)], "doc_id bigint, grader string, reading_level int")
+    n, level, index = reading.agreement(levels, labels)
+    assert n == 3 and level == pytest.approx(1.0) and index == pytest.approx(0.5)
+    assert reading.agreement(levels.limit(0), labels)[0] == 0
+
+
+def test_difficulties_do_not_depend_on_the_number_of_tasks(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 9)) + (" notwithstanding" if i % 3 else " cat"), "en" if i % 2 else None, 1, "x") for i in range(90)], DOCS)
+    one, many = (reading.fit(reading.features(docs.repartition(k)), rounds=2) for k in (1, 7))
+    assert np.allclose(one.difficulty, many.difficulty, atol=1e-9) and np.allclose(one.log_z, many.log_z, atol=1e-9)

@@ -275,36 +275,28 @@ def sheaf(p: Problem, tests: Tests) -> np.ndarray:
     tests.counter.pairs()
     tests.prefetch([(a, b, (z,)) for a, b in combinations(range(n), 2) for z in range(n) if z not in (a, b)])
     near = {v: [u for u in range(n) if p.joinable(u, v) and not tests.independent(u, v)] for v in range(n)}
-    tree = np.zeros((n, n), dtype=int)
+    beside: list[set[int]] = [set() for _ in range(n)]
 
-    def link(a: int, b: int) -> bool:
-        if tree[a, b]:
-            return True
-        if not p.joinable(a, b) or G.reaches(tree, a, b):
-            return False
-        tree[a, b] = tree[b, a] = 1
-        return True
+    def home_of(z: int, x: int) -> int:
+        """Where z belongs, from x on: a neighbour that separates the two is nearer to it."""
+        came: set[int] = set()
+        while True:
+            came.add(x)
+            nearer = [y for y in sorted(beside[x] - came) if tests.independent(x, z, (y,))]
+            if not nearer:
+                return x
+            x = nearer[0]
 
     def place(x: int, z: int) -> None:
-        walked = {x}
-        while True:
-            step = next((int(y) for y in np.flatnonzero(tree[x]) if int(y) not in walked and y != z and tests.independent(x, z, (int(y),))), None)
-            if step is None:
-                break
-            walked.add(step)
-            x = step
-        moved = False
-        for y in [int(y) for y in np.flatnonzero(tree[x]) if y != z]:
-            if not tests.independent(x, y, (z,)):
-                continue
-            saved = tree.copy()
-            tree[x, y] = tree[y, x] = 0
-            if link(x, z) and link(z, y):
-                moved = True
-            else:
-                tree[:] = saved
-        if not moved:
-            link(x, z)
+        home = home_of(z, x)
+        if not p.joinable(home, z):
+            return
+        # neighbours that z separates from its home hang on z from now on
+        taken = {y for y in beside[home] if p.joinable(z, y) and tests.independent(home, y, (z,))}
+        beside[home] = (beside[home] - taken) | {z}
+        beside[z] = taken | {home}
+        for y in taken:
+            beside[y] = (beside[y] - {home}) | {z}
 
     reached: set[int] = set()
     for start in range(n):
@@ -319,9 +311,10 @@ def sheaf(p: Problem, tests: Tests) -> np.ndarray:
                     reached.add(z)
                     place(x, z)
                     queue.append(z)
+    tree = np.array([[int(u in beside[v]) for u in range(n)] for v in range(n)])
     directed = np.zeros_like(tree)
     for z in range(n):
-        for a, b in combinations([int(v) for v in np.flatnonzero(tree[z])], 2):
+        for a, b in combinations(sorted(beside[z]), 2):
             if tests.independent(a, b) and not tests.independent(a, b, (z,)):
                 directed[a, z] = directed[b, z] = 1
     return _finished(p, tree, _outward(p, tree, directed), mi)

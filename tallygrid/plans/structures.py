@@ -527,3 +527,21 @@ SELECT 'dt' AS kind, var, parent, round(CASE WHEN l2 - ll - (states - 1) * price
 
 
 SQL["tree_scores"] = _tree_scores()
+
+# No maximal clique lies in another, so any two that overlap wait for each other and the order is that of the list.
+SQL["clique_structure"] = f"""WITH {_GRAPH}, {_SETS()}, cq AS (SELECT s, list(v ORDER BY v) AS vs FROM mc, range(7) g(v) WHERE (s >> v) & 1 = 1 GROUP BY s),
+o AS (SELECT s, row_number() OVER (ORDER BY vs) - 1 AS place, coalesce(bit_or(s) OVER (ORDER BY vs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, 2 * max(bit_count(s)) OVER () AS width FROM cq),
+p AS (SELECT *, list_filter(range(7), lambda i: ((s & seen) >> i) & 1 = 1) AS ov, list_filter(range(7), lambda i: ((s & ~seen) >> i) & 1 = 1) AS nw FROM o)
+SELECT place::INT AS place, len(ov)::INT AS n_overlap, len(nw)::INT AS n_new, array_to_string(list_concat(list_concat(ov, nw), list_transform(range(width - len(ov) - len(nw)), lambda x: 0::BIGINT)), ',') AS vars FROM p"""
+
+
+def _importance_k2() -> str:
+    """K2 along the order of information about the mean price of a configuration, in ten bins of equal weight."""
+    cells = " UNION ALL ".join(f"SELECT {v} AS v, x{v} AS s, bin, sum(w) AS n FROM bn GROUP BY ALL" for v in range(5))
+    order = f"""priced AS (SELECT {_X}, count(*)::DOUBLE AS w, avg(l_extendedprice) AS y FROM fx GROUP BY ALL), up AS (SELECT *, sum(w) OVER (ORDER BY y) / sum(w) OVER () AS up FROM priced), bn AS (SELECT *, least(floor(up * 10 - 1e-9), 9) AS bin FROM up), bc AS ({cells}),
+bm AS (SELECT *, sum(n) OVER (PARTITION BY v, s) AS ns, sum(n) OVER (PARTITION BY v, bin) AS nb, sum(n) OVER (PARTITION BY v) AS t FROM bc), rk AS (SELECT v, row_number() OVER (ORDER BY sum(n / t * ln(n * t / (ns * nb))) DESC) AS r FROM bm GROUP BY v)"""
+    body = Q._add_only("k2", 6, True).replace("st AS (SELECT", f"{order}, st AS (SELECT", 1)
+    return body.replace("ON c.u < s.v AND", "ON EXISTS (SELECT 1 FROM rk a JOIN rk b ON a.r < b.r WHERE a.v = c.u AND b.v = s.v) AND", 1)
+
+
+SQL["learn_fi_k2"] = _importance_k2()

@@ -33,6 +33,7 @@ from tallygrid.cluster import cut
 
 BINS, LANGUAGES = 1 << 16, 64
 GRID = np.linspace(-4, 4, 81)
+RAISED = 5.0
 #: Words of scripts with spaces, runs of scripts without (taken by pairs of characters), and numbers (all alike).
 TERMS = r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[[\p{L}\p{M}'’]--[\p{Han}\p{Hiragana}\p{Katakana}ー]]+|\p{N}+"
 #: Ideographs count as the width of a pair of characters, since they mark the harder words where there are no spaces.
@@ -102,6 +103,7 @@ class Model:
     languages: list[str | None]
     difficulty: np.ndarray
     log_z: np.ndarray
+    count: np.ndarray | None = None
     slope: float = 1.0
     cuts: tuple[float, ...] = ()
 
@@ -177,31 +179,31 @@ def fit(feats: DataFrame, rounds: int = 6, prior: float = 1.0) -> Model:
             z[i] = np.log(np.maximum(np.exp(np.outer(GRID, b[i, at])) @ p[i, at], 1e-300)) if len(at) else 0.0
         return z
 
-    model.difficulty, model.log_z = b.ravel(), normaliser(b, share)
+    model.difficulty, model.log_z, model.count = b.ravel(), normaliser(b, share), count
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now = sent.value
-            sums, seen, words = np.zeros(n), np.zeros(n), np.zeros(n)
+            sums, seen = np.zeros(n), np.zeros(n)
             for batch in batches:
                 index, sizes, lang = _words(batch, now)
                 at = now.levels(index, sizes, lang)
-                sums += np.bincount(index, weights=np.repeat(GRID[at], sizes), minlength=n)
-                words += np.bincount(index, minlength=n)
+                # levels are raised above 0, so that the sum of a word that occurs is never 0
+                sums += np.bincount(index, weights=np.repeat(GRID[at] + RAISED, sizes), minlength=n)
                 # the histogram of levels, by words, in the first places of each language
                 seen += np.bincount(lang * BINS + at, weights=sizes, minlength=n)
-            yield _emit({"t": sums, "c": words, "h": seen})
+            yield _emit({"t": sums, "h": seen})
 
-        made = feats.select("lang", "terms").mapInArrow(step, "i bigint, t double, c double, h double")
-        summed = cut(made.groupBy("i").agg(*[F.sum(x).alias(x) for x in "tch"]))
+        made = feats.select("lang", "terms").mapInArrow(step, "i bigint, t double, h double")
+        summed = cut(made.groupBy("i").agg(*[F.sum(x).alias(x) for x in "th"]))
         weight = np.zeros((n_lang, len(GRID)))
         for i, h in summed.filter("h > 0").select("i", "h").toPandas().itertuples(index=False):
             weight[i // BINS, i % BINS] = h
         base = np.log(np.maximum(weight, 1e-300)) - model.log_z
         # each word is a problem by itself, so words are spread over tasks: few bytes, much work
-        words = summed.filter("c > 0").repartition(tasks, F.xxhash64("i")).select("i", "t", "c")
+        words = summed.filter("t > 0").repartition(tasks, F.xxhash64("i")).select("i", "t")
         got = words.mapInArrow(_solver(sent, base, prior), "i bigint, b double").groupBy("i").agg(F.sum("b").alias("b")).toPandas()
         i, value = got["i"].to_numpy(dtype=np.int64), got["b"].to_numpy(dtype=float)
         b = np.zeros(n)
@@ -211,21 +213,24 @@ def fit(feats: DataFrame, rounds: int = 6, prior: float = 1.0) -> Model:
         totals[-1 - i[i < 0]] = value[i < 0]
         totals = totals.reshape(n_lang, -1)
         log_z = np.log(np.maximum(totals[:, 1:], 1e-300)) - np.log(np.maximum(totals[:, :1], 1e-300))
-        model = Model(model.languages, b, np.where(totals[:, :1] > 0, log_z, 0.0))
+        model = Model(model.languages, b, np.where(totals[:, :1] > 0, log_z, 0.0), count)
         sent.destroy()
+    model.count = None  # the fit alone needs it
     return model
 
 
 def _solver(sent, base: np.ndarray, prior: float):
-    """For each word (``i, t, c``: place, sum of levels, number) its difficulty, by Newton steps in one variable."""
+    """For each word (``i, t``: place, sum of raised levels) its difficulty, by Newton steps in one variable."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, width = sent.value.difficulty, len(GRID) + 1
         totals = np.zeros(len(base) * width)
         for batch in batches:
-            i, t, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            i, t = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for low in range(0, len(i), 20_000):
-                at, sums, count = i[low : low + 20_000], t[low : low + 20_000], c[low : low + 20_000]
+                at = i[low : low + 20_000]
+                count = sent.value.count[at]
+                sums = t[low : low + 20_000] - RAISED * count
                 own, lang = old[at].copy(), at // BINS
                 ground = base[lang]
                 for _ in range(8):

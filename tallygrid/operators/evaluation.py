@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +80,85 @@ def kl_divergence(df: DataFrame, p: str, q: str, by: list[str]) -> DataFrame:
     return s.select(*by, (F.coalesce("e", F.lit(0.0)) / F.col("sp") - F.log(F.col("sp")) + F.log("sq")).alias("kl"))
 
 
+def cell_measures(cells: DataFrame, models: int) -> DataFrame:
+    """``split, ll0, kl0, ...``: mean log-likelihood, and divergence of the weights' law from each model's.
+
+    ``cells`` are configurations of a split: rows ``n``, sums ``e`` of the weights and ``ez`` of weights times their logs, and ``logp0`` ...
+    """
+    total = cells.groupBy("split").agg(F.sum("e").alias("_t"))
+    each, out = F.col("e") / F.col("_t"), []
+    for i in range(models):
+        logp = F.col(f"logp{i}")
+        q = F.exp(logp)
+        apart = F.sum((F.col("ez") - F.col("e") * F.log("_t")) / F.col("_t") - each * F.log(F.greatest(q, F.lit(1e-300))))
+        out += [(F.sum(F.col("n") * logp) / F.sum(F.when(logp.isNotNull(), F.col("n")))).alias(f"ll{i}"), (F.coalesce(apart, F.lit(0.0)) / F.sum(each) - F.log(F.sum(each)) + F.log(F.sum(F.col("n") * q))).alias(f"kl{i}")]
+    return cells.join(total, "split").groupBy("split").agg(*out)
+
+
+#: Configurations that are broadcast to the rows; with more, Spark joins as it sees fit.
+MOST_CELLS = 20_000
+
+
+def cell_correlations(rows: DataFrame, cells: DataFrame, value: str, names: list[str], models: int) -> dict[tuple[int, int], float | None]:
+    """Rank correlation of a value that is never null and ``logp`` of each model, by split and model; None if a side is constant.
+
+    A model's ranks are those of its configurations, so the rows are combined by value, with the sums of their model
+    ranks, before anything is ordered. Pieces of that order give sums over ranks within the piece; what lies before is added here.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"logp{i}").alias("v")) for i in range(models)]))
+    counts = cells.select("split", "n", sides.alias("_s")).groupBy("split", F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")).agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("split", "_side").agg(F.sum("n").alias("_all"))
+    # ranks less their mean, which keeps the sums small
+    placed = cut(running(counts, ["split", "_side"], "_v", "n", "up").join(whole, ["split", "_side"]).select("split", "_side", "_v", (F.col("up") - (F.col("n") - 1) / 2 - (F.col("_all") + 1) / 2).alias("_r")))
+    for i in range(models):
+        cells = cells.join(placed.filter(F.col("_side") == i).select("split", F.col("_v").alias(f"logp{i}"), F.col("_r").alias(f"_r{i}")), ["split", f"logp{i}"], "left")
+    cells = cut(cells.select("split", *names, "nf", *[f"_r{i}" for i in range(models)]))
+    own = {r["split"]: r for r in cells.groupBy("split").agg(*[F.sum(F.col("nf") * F.pow(f"_r{i}", F.lit(p))).alias(f"m{i}_{p}") for i in range(models) for p in (1, 2)]).collect()}
+
+    ranked = cells.drop("nf").withColumn("_one", F.lit(1))
+    if cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
+        ranked = F.broadcast(ranked)
+    # rows without a state have no partner and count as none; an inner join would test all states for null at the scan
+    byvalue = rows.join(ranked, ["split", *names], "left").groupBy("split", value).agg(F.count("_one").alias("n"), *[F.sum(f"_r{i}").alias(f"t{i}") for i in range(models)])
+    byvalue = byvalue.select(F.col("split").cast("long").alias("split"), F.col(value).alias("v"), F.col("n").cast("double").alias("n"), *[F.coalesce(f"t{i}", F.lit(0.0)).alias(f"t{i}") for i in range(models)])
+    kept = ["n", "r", "rr", *[f"{c}{i}" for i in range(models) for c in ("t", "rt")]]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            split = batch.column("split").to_numpy()
+            for s in np.unique(split):
+                part = split == s
+                take = lambda c, part=part: batch.column(c).to_numpy()[part]  # noqa: B023, E731
+                n = take("n")
+                first, so_far = found.setdefault(int(s), [float(take("v")[0]), np.zeros(len(kept))])
+                r = so_far[0] + np.cumsum(n) - (n - 1) / 2
+                ts = [take(f"t{i}") for i in range(models)]
+                so_far += [n.sum(), n @ r, n @ (r * r), *[x for t in ts for x in (t.sum(), r @ t)]]
+        yield pa.RecordBatch.from_pydict({"split": pa.array([*found], pa.int64()), "first": pa.array([x[0] for x in found.values()], pa.float64()), **{c: pa.array([x[1][j] for x in found.values()], pa.float64()) for j, c in enumerate(kept)}})
+
+    ordered = byvalue.repartitionByRange("split", "v").sortWithinPartitions("split", "v")
+    pieces = [r.asDict() for r in ordered.mapInArrow(sums, "split long, first double, " + ", ".join(f"{c} double" for c in kept)).collect()]
+    out: dict[tuple[int, int], float | None] = {}
+    for s in {p["split"] for p in pieces}:
+        here = sorted((p for p in pieces if p["split"] == s), key=lambda p: (math.isnan(p["first"]), p["first"]))
+        n = sum(p["n"] for p in here)
+        a1, a2, ab, before = 0.0, 0.0, [0.0] * models, -(n + 1) / 2
+        for p in here:
+            a1 += p["r"] + before * p["n"]
+            a2 += p["rr"] + 2 * before * p["r"] + before * before * p["n"]
+            ab = [x + p[f"rt{i}"] + before * p[f"t{i}"] for i, x in enumerate(ab)]
+            before += p["n"]
+        for i in range(models):
+            b1, b2 = (own[s][f"m{i}_{p}"] for p in (1, 2)) if s in own else (None, None)
+            if not n or b1 is None:
+                out[s, i] = None
+                continue
+            spread = max(a2 / n - (a1 / n) ** 2, 0.0) * max(b2 / n - (b1 / n) ** 2, 0.0)
+            out[s, i] = (ab[i] / n - a1 / n * b1 / n) / math.sqrt(spread) if spread > 0 else None
+    return out
+
+
 def friedman(mean_ranks: list[float], n: int) -> tuple[float, float]:
     """Statistic and p-value from mean ranks of k methods over n problems."""
     k = len(mean_ranks)

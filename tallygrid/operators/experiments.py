@@ -8,9 +8,10 @@ import threading
 import time
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.cluster import cut
@@ -76,24 +77,78 @@ def evaluate(population: DataFrame, cards: Sequence[int], true: Sequence[tuple[i
     A share of the training split, chosen by hash, is weighted by its objective and learnt from. Each split then gives
     mean log-likelihood, divergence of the weights' law from the model's, and rank correlation of objective and model.
     """
+    return evaluate_each(population, cards, true, [method], train, temperature, share, seed, **options)[method]
+
+
+def evaluate_each(population: DataFrame, cards: Sequence[int], true: Sequence[tuple[int, int]], methods: Sequence[str], train: int, temperature: float = 1.0, share: float = 0.8, seed: int = 0, **options) -> dict[str, dict[str, float]]:
+    """The vectors of several methods, which learn from the same rows and share every pass over the population.
+
+    The share is found by counting hashes in buckets, so that only the bucket on its edge is ordered; ``time`` of each
+    method has the common count. Measures are sums over configurations of a split, and only counts by value are ordered.
+    """
     names = [f"x{v}" for v in range(len(cards))]
-    pool = population.filter(F.col("split") == train).withColumn("_h", F.xxhash64("id", F.lit(seed)))
-    k = int(share * pool.count())
-    used = cut(E.boltzmann(first_k(pool, [F.asc("_h"), F.asc("id")], k), "f", temperature, []))
+    f = F.col("f").cast("double")
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in names])
+    rows = population.filter(F.col("split").isin(sorted({0, 1, 2, train})))
+    bucket = F.shiftright(F.xxhash64("id", F.lit(seed)), 48)
+    at = F.when(F.col("split") == train, bucket).alias("at")
+    ends = [F.min(F.when(known, f)).alias("lo"), F.max(F.when(known, f)).alias("hi")]
+    # a row for each other split and each of 2^16 buckets
+    parts = [r.asDict() for r in rows.groupBy("split", at).agg(F.count("*").alias("n"), *ends).collect()]
+
     began = time.perf_counter()
-    net = Network.fit(Tally.of(used, names, cards, F.col("weight")), method, n=k, **options)
-    took = time.perf_counter() - began
-    learnt, truth = {tuple(sorted(e)) for e in net.edges()}, {tuple(sorted(e)) for e in true}
-    hit = len(learnt & truth)
-    out = {"f1": 1.0 if not learnt and not truth else 2 * hit / (len(learnt) + len(truth)), "time": took}
-    scored = net.log_probability(Tally(population.select(*names).distinct().withColumn("w", F.lit(1.0)), tuple(cards))).drop("w")
-    weighted = cut(E.boltzmann(population.join(scored, names), "f", temperature, ["split"]).withColumn("q", F.exp("logp")))
-    ll = {r["split"]: r["ll"] for r in weighted.groupBy("split").agg(F.avg("logp").alias("ll")).collect()}
-    kl = {r["split"]: r["kl"] for r in E.kl_divergence(weighted, "weight", "q", ["split"]).collect()}
-    sp = {r["split"]: r["rho"] for r in E.spearman(weighted, "f", "logp", ["split"]).collect()}
-    for i in range(3):
-        out |= {f"ll_s{i}": ll.get(i, np.nan), f"kl_s{i}": kl.get(i, np.nan), f"sp_s{i}": np.nan if sp.get(i) is None else sp[i]}
-    return out
+    pool = sorted((p for p in parts if p["split"] == train), key=lambda p: p["at"])
+    k = int(share * sum(p["n"] for p in pool))
+    below, whole = 0, []
+    for p in pool:
+        if below + p["n"] > k:
+            break
+        below += p["n"]
+        whole.append(p)
+    edge = pool[len(whole)]["at"] if len(whole) < len(pool) else 1 << 15
+    drawn = rows.filter(F.col("split") == train)
+    on_edge = cut(drawn.filter(bucket == edge).withColumn("_h", F.xxhash64("id", F.lit(seed))))
+    rest = cut(first_k(on_edge, [F.asc("_h"), F.asc("id")], k - below).select(*names, "f"))
+    lo, hi = _ends([*whole, rest.agg(F.min(f).alias("lo"), F.max(f).alias("hi")).first().asDict()])
+    used = drawn.filter(bucket < edge).select(*names, "f").unionByName(rest)
+    tally = Tally.of(used, names, cards, F.exp(_scaled(f, F.lit(lo), F.lit(hi), temperature)))
+    tally = Tally(cut(tally.df), tally.cards)
+    counted = time.perf_counter() - began
+    nets, truth, out = [], {tuple(sorted(e)) for e in true}, {}
+    for m in methods:
+        began = time.perf_counter()
+        nets.append(Network.fit(tally, m, n=k, **options))
+        took = counted + time.perf_counter() - began
+        learnt = {tuple(sorted(e)) for e in nets[-1].edges()}
+        hit = len(learnt & truth)
+        out[m] = {"f1": 1.0 if not learnt and not truth else 2 * hit / (len(learnt) + len(truth)), "time": took}
+
+    limits = {s: _ends([p for p in parts if p["split"] == s]) for s in range(3)}
+    low, high = (F.coalesce(*[F.when(F.col("split") == s, F.lit(v[i])) for s, v in limits.items()]) for i in (0, 1))
+    z = _scaled(f, low, high, temperature)
+    rows = rows.filter(F.col("split").isin(0, 1, 2))
+    cells = rows.groupBy("split", *names).agg(F.count("*").alias("n"), F.count(f).alias("nf"), F.sum(F.exp(z)).alias("e"), F.sum(F.exp(z) * z).alias("ez"))
+    cells = cut(cells).filter(known)
+    for i, net in enumerate(nets):
+        cells = net.log_probability(Tally(cells, tuple(cards))).withColumnRenamed("logp", f"logp{i}")
+    for r in E.cell_measures(cells, len(nets)).collect():
+        for i, m in enumerate(methods):
+            out[m] |= {f"ll_s{r['split']}": r[f"ll{i}"], f"kl_s{r['split']}": r[f"kl{i}"]}
+    for (s, i), rho in E.cell_correlations(rows.filter(f.isNotNull()).select(*names, "split", f.alias("f")), cells, "f", names, len(nets)).items():
+        out[methods[i]][f"sp_s{s}"] = rho
+    return {m: {c: np.nan if out[m].get(c) is None else out[m][c] for c in VECTOR} for m in methods}
+
+
+def _ends(parts: Sequence[dict]) -> tuple[float | None, float | None]:
+    """The least and the largest value of parts, as Spark orders them: NaN above all."""
+    order = lambda v: (v != v, v)
+    return min((p["lo"] for p in parts if p["lo"] is not None), key=order, default=None), max((p["hi"] for p in parts if p["hi"] is not None), key=order, default=None)
+
+
+def _scaled(value: Column, lo: Column, hi: Column, temperature: float) -> Column:
+    """The exponent of a Boltzmann weight; a factor that all weights share, as their sum, makes no difference to a fit."""
+    lo, hi = lo.cast("double"), hi.cast("double")
+    return (value - lo) / (hi - lo + 1e-12) / temperature
 
 
 def compare_learners(spark: SparkSession, problems: dict[str, tuple[Counter, np.ndarray]], methods: Sequence[str], seconds: float = 300.0, **options) -> DataFrame:

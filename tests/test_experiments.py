@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallygrid.operators import experiments as X
@@ -32,6 +33,46 @@ def test_evaluation_vector(spark):
     assert all(got[f"ll_s{i}"] < 0 < got[f"kl_s{i}"] and -1 <= got[f"sp_s{i}"] <= 1 for i in range(3))
 
 
+def test_evaluation_of_one_model_by_hand(spark):
+    """Ties, rows without an objective, and rows without a state, which count nowhere, whatever their objective."""
+    x = branching(900).astype(float)
+    rng = np.random.default_rng(1)
+    f = np.round(x.sum(axis=1) + rng.normal(size=900), 1)
+    split = np.arange(900) % 3
+    f[5:300:15] = np.nan  # none of the training split 1
+    x[6:300:15, 2], f[6:300:15] = np.nan, 99.0
+    rows = [(i, *[None if v != v else int(v) for v in r], None if g != g else float(g), int(s)) for i, (r, g, s) in enumerate(zip(x, f, split, strict=True))]
+    got = X.evaluate(spark.createDataFrame(rows, "id long, x0 int, x1 int, x2 int, x3 int, f double, split int"), (2, 2, 2, 2), [], "univ_bn", 1, share=1.0)
+
+    all_ = pd.DataFrame(x, columns=list("abcd")).assign(f=f, split=split).dropna(subset=list("abcd"))
+    train = all_[all_["split"] == 1]
+    e = np.exp((train["f"] - train["f"].min()) / (train["f"].max() - train["f"].min() + 1e-12))
+    ones = [((e * train[c]).sum() / e.sum() * len(train) + 0.5) / (len(train) + 1) for c in "abcd"]
+    all_["logp"] = sum(np.log(np.where(all_[c] == 1, p, 1 - p)) for c, p in zip("abcd", ones, strict=True))
+    for s, g in all_.groupby("split"):
+        with_f = g.dropna(subset=["f"])
+        w = np.exp((with_f["f"] - with_f["f"].min()) / (with_f["f"].max() - with_f["f"].min() + 1e-12))
+        p, q = w / w.sum(), np.exp(g["logp"]) / np.exp(g["logp"]).sum()
+        rho = np.corrcoef(with_f["f"].rank(), g["logp"].round(12).rank()[with_f.index])[0, 1]
+        assert [got[f"{m}_s{s}"] for m in ("ll", "kl", "sp")] == pytest.approx([g["logp"].mean(), (p * np.log(p / q[with_f.index])).sum(), rho], abs=1e-9)
+
+
+def test_evaluation_writes_no_rows_between_steps(spark, monkeypatch):
+    from tallygrid.operators import evaluation, ordered
+
+    held = []
+    for module in (X, evaluation, ordered):
+        monkeypatch.setattr(module, "cut", lambda df, do=module.cut: (kept := do(df), held.append(kept.count()))[0])
+    x = np.vstack([branching(900)] * 4)
+    rows = [(i, *map(int, r), float(i % 50), i % 3) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x0 int, x1 int, x2 int, x3 int, f double, split int")
+    alone = {m: X.evaluate(df, (2, 2, 2, 2), [(0, 1)], m, 1) for m in ("chow_liu", "k2")}
+    assert held and max(held) < 100
+    together = X.evaluate_each(df, (2, 2, 2, 2), [(0, 1)], ["chow_liu", "k2"], 1)
+    for m, vector in alone.items():
+        assert [together[m][c] for c in X.VECTOR if c != "time"] == pytest.approx([vector[c] for c in X.VECTOR if c != "time"])
+
+
 def test_learners_side_by_side(spark):
     c = counter(spark, branching(600))
     true = np.zeros((4, 4), dtype=int)
